@@ -1,0 +1,25 @@
+"""The queries of the training-data problems and, where SQL can say them, their SQL."""
+
+from __future__ import annotations
+
+from ..plans.shared import once, table
+from .canonical import canonical_columns, canonical_sql, same_look
+
+
+def p5_found(spark, sf):
+    return same_look(table(spark, sf, "line_evals", ["eval_id", "reference", "prediction"]), "eval_id", "reference", "prediction")
+
+
+def p5_line_forms(spark, sf):
+    rows = once(table(spark, sf, "line_evals", ["eval_id", "reference", "prediction", "received_at"]), "eval_id")
+    return canonical_columns(rows.select("eval_id", "reference", "prediction"), ["reference", "prediction"])
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_line_forms": p5_line_forms,
+}
+
+ORACLE = {
+    "p5_found": f"SELECT DISTINCT eval_id FROM line_evals WHERE reference <> prediction AND eval_id IS NOT NULL AND {canonical_sql('reference')} = {canonical_sql('prediction')}",
+}
