@@ -99,7 +99,7 @@ def canonical_columns(df: DataFrame, columns: list[str], suffix: str = "_one_for
             if texts is None:
                 continue
             con.register("texts", texts)
-            out = con.execute(f"SELECT {exprs} FROM texts").fetch_arrow_table().combine_chunks()
+            out = con.sql(f"SELECT {exprs} FROM texts").to_arrow_table().combine_chunks()
             con.unregister("texts")
             arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[a.cast(pa.string()) for a in arrays]], names=[f.name for f in schema.fields])

@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.shared import once, table
 from .canonical import canonical_columns, canonical_sql, same_look
+from .group_splits import plain_split, stratified_splits, torn_groups
+from .near_duplicates import linked_members, near_duplicate_pairs
+
+
+def _heads(spark, sf):
+    return once(table(spark, sf, "page_evidence", ["evidence_id", "text_head", "received_at"]), "evidence_id")
+
+
+def p1_found(spark, sf):
+    return near_duplicate_pairs(_heads(spark, sf), "evidence_id", "text_head", 0.6, 12).withColumnsRenamed({"a": "evidence_id_a", "b": "evidence_id_b"})
+
+
+def p1_classes(spark, sf):
+    return linked_members(_heads(spark, sf), "evidence_id", "text_head", 0.6, 12)
+
+
+RELATED = ["writer", "source_doc", "entity"]
+
+
+def _samples(spark, sf):
+    rows = once(table(spark, sf, "samples", ["item_no", "context_id", *RELATED, "metadata", "received_at"]), "item_no")
+    contexts = table(spark, sf, "conversion_contexts", ["context_id", "split", "track"]).dropDuplicates(["context_id"])
+    return rows.join(contexts, "context_id", "left").withColumn("split", plain_split(F.col("split")))
+
+
+def p3_found(spark, sf):
+    return torn_groups(_samples(spark, sf), "item_no", RELATED, "split")
+
+
+def p3_new_splits(spark, sf):
+    records = _samples(spark, sf).withColumn("profile", F.try_element_at("metadata", F.lit("profile")))
+    return stratified_splits(records, "item_no", RELATED, ["track", "profile"], {"train": 0.8, "dev": 0.1, "test": 0.1})
 
 
 def p5_found(spark, sf):
@@ -16,6 +50,10 @@ def p5_line_forms(spark, sf):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p3_found": p3_found,
+    "p3_new_splits": p3_new_splits,
     "p5_found": p5_found,
     "p5_line_forms": p5_line_forms,
 }
