@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import once, table
 from .canonical import canonical_columns, canonical_sql, same_look
 from .group_splits import plain_split, stratified_splits, torn_groups
+from .leakage import leaks
 from .near_duplicates import linked_members, near_duplicate_pairs
 
 
@@ -49,6 +50,19 @@ def p5_line_forms(spark, sf):
     return canonical_columns(rows.select("eval_id", "reference", "prediction"), ["reference", "prediction"])
 
 
+def p7_leaks(spark, sf):
+    return leaks(table(spark, sf, "documents", ["doc_id", "text"]), table(spark, sf, "eval_passages", ["passage_no", "text"]), "doc_id", "text", "passage_no", "text")
+
+
+def p7_found(spark, sf):
+    return p7_leaks(spark, sf).select("doc_id", "passage_no")
+
+
+def p7_items(spark, sf):
+    found = p7_found(spark, sf).groupBy("passage_no").agg(F.count("*").alias("n_documents"))
+    return table(spark, sf, "eval_passages", ["passage_no", "item_id", "split", "source_id"]).join(found, "passage_no")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -56,6 +70,9 @@ QUERIES = {
     "p3_new_splits": p3_new_splits,
     "p5_found": p5_found,
     "p5_line_forms": p5_line_forms,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
 }
 
 ORACLE = {

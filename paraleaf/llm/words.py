@@ -31,3 +31,43 @@ def words(text: str) -> list[str]:
 def without_signs(text: str) -> str:
     """The text without invisible format signs."""
     return text if text.isascii() else _FORMAT.sub("", text)
+
+
+_TO_MAP = re.compile("[Ͱ-ԯ℀-ↈⰀ-ⷿ　-㏿Ꙁ-ꟿﬀ-﷿︰-￮\U0001d400-\U0001d7ffװ-ײİ-ſǄ-ǳµ]")
+_table: dict[int, str] = {}
+
+
+def plain(text: str) -> str:
+    """Case, marks, invisible signs, widths, joined letters and look-alike letters set aside (the mapping of problem 5)."""
+    if text.isascii():
+        return text.lower()
+    text = _FORMAT.sub("", text)
+    if _TO_MAP.search(text):
+        if not _table:
+            from .canonical import mappings
+
+            one, many = mappings()
+            _table.update({ord(k): v for k, v in (one | many).items()})
+        text = text.translate(_table)
+    return bare(text)
+
+
+def plain_words(text: str) -> list[str]:
+    return _WORD.findall(plain(text))
+
+
+def alike(a: str, b: str) -> bool:
+    """One word misspelt: at most a third of the longer word's letters edited, one at least allowed."""
+    if a == b:
+        return True
+    most = max(1, max(len(a), len(b)) // 3)
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diag, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
