@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.shared import once, table
+from ..plans.shared import once, table, written
+from .abuse import abuse_scores
 from .canonical import canonical_columns, canonical_sql, same_look
 from .group_splits import plain_split, stratified_splits, torn_groups
 from .leakage import leaks
 from .near_duplicates import linked_members, near_duplicate_pairs
+from .packing import fill_windows, token_counts, window_report
 
 
 def _heads(spark, sf):
@@ -63,6 +65,32 @@ def p7_items(spark, sf):
     return table(spark, sf, "eval_passages", ["passage_no", "item_id", "split", "source_id"]).join(found, "passage_no")
 
 
+def p6_windows(spark, sf):
+    counts = written(token_counts(table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text"), "tokens")
+    return fill_windows(counts, table(spark, sf, "context_windows"))
+
+
+def p6_filled_share(spark, sf):
+    return window_report(p6_windows(spark, sf), table(spark, sf, "context_windows"))
+
+
+def _abuse(spark, sf, keep=None):
+    return abuse_scores(table(spark, sf, "documents", ["doc_id", "text", *(keep or [])]), table(spark, sf, "review_labels", ["doc_id", "label"]), "doc_id", "text", keep)
+
+
+def p8_found(spark, sf):
+    return _abuse(spark, sf).where("abusive").select("doc_id")
+
+
+def p8_scores(spark, sf):
+    return _abuse(spark, sf)
+
+
+def p8_source_rates(spark, sf):
+    scored = _abuse(spark, sf, ["source"])
+    return scored.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if("abusive").alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -70,9 +98,14 @@ QUERIES = {
     "p3_new_splits": p3_new_splits,
     "p5_found": p5_found,
     "p5_line_forms": p5_line_forms,
+    "p6_windows": p6_windows,
+    "p6_filled_share": p6_filled_share,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 
 ORACLE = {
