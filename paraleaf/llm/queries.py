@@ -11,6 +11,7 @@ from .group_splits import plain_split, stratified_splits, torn_groups
 from .leakage import leaks
 from .near_duplicates import linked_members, near_duplicate_pairs
 from .packing import fill_windows, token_counts, window_report
+from .split_overlap import overlap_counts, overlapping_pairs
 
 
 def _heads(spark, sf):
@@ -25,6 +26,26 @@ def p1_classes(spark, sf):
     return linked_members(_heads(spark, sf), "evidence_id", "text_head", 0.6, 12)
 
 
+def _records(spark, sf):
+    contexts = table(spark, sf, "conversion_contexts", ["context_id", "split", "source_id"]).dropDuplicates(["context_id"])
+    items = once(table(spark, sf, "samples", ["item_no", "context_id", "text", "received_at"]), "item_no").join(contexts, "context_id")
+    items = items.select(F.concat(F.lit("item:"), "item_no").alias("name"), plain_split(F.col("split")).alias("split"), F.col("source_id").alias("source"), "text")
+    gold = table(spark, sf, "gold_pages").select("page_id", "split", F.col("metadata.source_collection").alias("source")).dropDuplicates(["page_id"])
+    lines = F.flatten(F.transform("regions", lambda r: F.coalesce(F.transform(r["lines"], lambda x: F.struct(x["line_id"].alias("line_id"), x["text"].alias("text"))), F.array()))).alias("lines")
+    pages = once(table(spark, sf, "prediction_pages").select("pred_id", "page_id", "received_at", lines), "pred_id").join(gold, "page_id")
+    rows = pages.select("pred_id", "split", "source", F.explode("lines").alias("l")).where("length(l.text) >= 27")
+    rows = rows.select(F.concat(F.lit("page:"), "pred_id", F.lit("#"), "l.line_id").alias("name"), plain_split(F.col("split")).alias("split"), "source", F.col("l.text").alias("text"))
+    return items.unionByName(rows).where("name is not null").dropDuplicates(["name"])
+
+
+def p2_found(spark, sf):
+    return overlapping_pairs(_records(spark, sf), 0.88, 80)
+
+
+def p2_counts(spark, sf):
+    return overlap_counts(_records(spark, sf), 0.88, 80)
+
+
 RELATED = ["writer", "source_doc", "entity"]
 
 
@@ -94,6 +115,8 @@ def p8_source_rates(spark, sf):
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
     "p3_found": p3_found,
     "p3_new_splits": p3_new_splits,
     "p5_found": p5_found,
