@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .words import plain
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8000
 PRIOR_WEIGHT = 400.0
 ROUNDS = 3
 STEP = 0.3
@@ -306,7 +306,7 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, key: str, text: str, keep:
     spark = docs.sparkSession
     keep = keep or []
     votes = label_votes(labels, key, "label").orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    sample = docs.select(key, text).where(F.col(text).isNotNull()).join(votes, key).select(text, "vote").collect()
+    sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(votes), key).select(text, "vote").collect()
     labelled = sorted((r[0], float(r[1])) for r in sample)
     vocabulary = {w for t, _ in labelled for s in sentences(t) for w in s}
     shared = spark.sparkContext.broadcast(fit(labelled, _word_counts(docs, text, vocabulary) if labelled else Counter()))
