@@ -86,3 +86,9 @@ def reading_order(nodes: pd.Series, edges: pd.Series, keys: pd.Series) -> pd.Ser
         return order_or_given(n, pairs, list(k) if k is not None else [0] * len(n))
 
     return pd.Series([one(n, e, k) for n, e, k in zip(nodes, edges, keys, strict=True)])
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
+def precedence_list(edges: pd.Series) -> pd.Series:
+    """The precedences of a page's edges; null gives none, malformed edges are passed over."""
+    return pd.Series([sorted(precedences([tuple(x) for x in (e if e is not None else []) if x is not None and len(x) == 2])) for e in edges])

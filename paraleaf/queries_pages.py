@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .functions.order import reading_order
+from .functions.order import precedence_list, reading_order
 from .operators import assignment as M
 from .plans.shared import once, table
 from .queries_text import LE, line_evals
@@ -101,14 +100,9 @@ def q_order_edges(spark, sf):
 
 
 def q_precedences(spark, sf):
-    """Pairs of regions with a path between them, by doubling paths inside pages until nothing is new."""
-    paths = _edges(gold(spark, sf, "reading_order")).distinct().cache()
-    n = -1
-    while (now := paths.count()) != n:
-        n = now
-        step = paths.select("page_id", F.col("a").alias("x"), F.col("b").alias("a")).join(paths, ["page_id", "a"]).select("page_id", F.col("x").alias("a"), "b")
-        paths = paths.unionByName(step).distinct().cache()
-    return paths
+    """Pairs of regions with a path between them: the closure of one page's graph, page by page where it lies."""
+    df = gold(spark, sf, "reading_order").select("page_id", F.explode(precedence_list("reading_order.edges")).alias("e"))
+    return df.select("page_id", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
 
 
 def q_reading_order(spark, sf):
