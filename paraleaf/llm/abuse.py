@@ -258,12 +258,14 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
         m.log_k = null[len(null) // 2] + math.log(math.log(2))
         rows = [(m.significance(d[0], d[3]) if d[0] > 0 else 0.0, y) for d, y in rows]
         up = sum(1 for _, y in rows if y > 0)
-        best = (-1.0, m.cut)
+        best, below = (-1.0, 0.0, m.cut), 0.0
         for cut in sorted({round(s, 2) for s, _ in rows if s > 0}):
             tp = sum(1 for s, y in rows if s >= cut and y > 0)
             fp = sum(1 for s, y in rows if s >= cut and y < 0)
-            best = max(best, (2 * tp / max(1, tp + fp + up), cut))
-        m.cut = best[1]
+            # Of the best cuts the one in the widest gap, in its middle.
+            best = max(best, (2 * tp / max(1, tp + fp + up), cut - below, (cut + below) / 2))
+            below = cut
+        m.cut = best[2]
     return m
 
 

@@ -109,6 +109,6 @@ def canonical_columns(df: DataFrame, columns: list[str], suffix: str = "_one_for
 
 def same_look(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Distinct ``key`` of the rows whose two texts differ in characters and have one form. Rows with a null in any of the three give none."""
-    differ = df.select(key, left, right).where((F.col(left) != F.col(right)) & F.col(key).isNotNull())
-    forms = canonical_columns(differ, [left, right])
-    return forms.where(F.col(f"{left}_one_form") == F.col(f"{right}_one_form")).select(key).distinct()
+    differ = df.select(F.col(key).alias("k"), F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b and k is not null")
+    forms = canonical_columns(differ, ["a", "b"])
+    return forms.where("a_one_form = b_one_form").select(F.col("k").alias(key)).distinct()
