@@ -14,7 +14,12 @@ CORE = {k: f for m in (queries_nested, queries_text, queries_pages, queries_corp
 
 def rows(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "NULL" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    import pandas as pd
+
+    def show(v):
+        gone = v is None or (pd.api.types.is_scalar(v) and pd.isna(v))
+        return "NULL" if gone else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
     return sorted(tuple(show(v) for v in r) for r in df.itertuples(index=False))
 
 

@@ -108,5 +108,5 @@ def test_indel_ratio(spark):
 
 
 def test_box_iou(spark):
-    df = spark.createDataFrame([(square(0, 0, 20, 10), square(0, 0, 10, 10))], "a array<array<double>>, b array<array<double>>")
+    df = spark.createDataFrame([(square(0.0, 0.0, 20.0, 10.0), square(0.0, 0.0, 10.0, 10.0))], "a array<array<double>>, b array<array<double>>")
     assert df.select(G.box_iou(G.bounds(F.col("a")), G.bounds(F.col("b")))).first()[0] == 0.5
