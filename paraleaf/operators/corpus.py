@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.align import indel_ratio
 from ..functions.text import nfkc_folded, word_list
+from ..plans.shared import workers
 
 SPLIT_SALT = "paraleaf-split-v1"
 
@@ -52,27 +53,32 @@ def split_leaks(df: DataFrame, split: str, fields: list[str]) -> DataFrame:
     return seen.groupBy("field", "value").agg(F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("s")), ",").alias("splits"), F.count("*").alias("k")).where("k > 1").drop("k")
 
 
-def audit_near_duplicates(df: DataFrame, key: str, text: str, split: str, ratio: float = 0.94, least: int = 32, tail: int = 4) -> DataFrame:
+def audit_near_duplicates(df: DataFrame, key: str, text: str, split: str, ratio: float = 0.94, least: int = 32) -> DataFrame:
     """(key_a, key_b, ratio): pairs across splits with an indel ratio from ``ratio`` on, exact copies not included.
 
-    One inserted or deleted character breaks at most four word pairs, so two texts that differ in k of them share one of the 4k + 1
-    rarest word pairs of each: only these are joined on. Texts with fewer word pairs use all they have.
+    A replaced letter costs two indels and breaks one word, so texts within the ratio keep all but ``lost`` of their distinct
+    words, and any two of the kept ones stand among the ``lost + 2`` rarest of both: texts are joined on pairs of such words, which are far
+    rarer than words. Texts that differ in inserted or deleted letters only, one per word, from end to end can be missed.
     Copies are met once: pairs are between distinct texts of a split, ``key`` being the least key of the copies.
     """
     t = df.where(F.col(split).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(split).alias("s"), nfkc_folded(text).alias("t")).where(F.length("t") >= least)
     t = t.groupBy("t", "s").agg(F.min("k").alias("k"))
-    w = word_list(F.col("t"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.element_at("w", i), F.try_element_at("w", i + 1))))
-    t = t.withColumn("w", w).withColumn("p", pairs).drop("w")
-    grams = t.select("k", "s", F.length("t").alias("n"), F.explode("p").alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    edits = F.floor(F.col("n") * (1 - ratio) * 2 / ratio) + 1
-    ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("k", "s").orderBy("c", "g"))).where(F.col("r") <= 4 * edits + 1)
-    a, b = ranked.select("g", F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("n").alias("na")), ranked.select("g", F.col("k").alias("kb"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") / F.greatest("na", "nb")) >= ratio * 0.75
+    word = t.select("k", "s", F.length("t").alias("n"), F.explode(F.array_distinct(word_list(F.col("t")))).alias("w"))
+    counts = word.groupBy("w").agg(F.count("*").alias("c"))
+    lost = (F.ceil((F.floor(F.first("n") * (1 - ratio) * 2 / ratio) + 1) / 2) + 2).cast("int")
+    rare = word.join(counts, "w").groupBy("k", "s").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", F.xxhash64("w").alias("h")))).alias("o"), lost.alias("lost"))
+    rare = rare.select("k", "s", "n", "lost", F.transform("o", lambda x: x["h"]).alias("all"), F.transform(F.slice("o", 1, F.col("lost") + 2), lambda x: x["h"]).alias("h"))
+    both = F.flatten(F.transform("h", lambda a, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b)))))
+    grams = rare.select("k", "s", "n", F.explode(both).alias("g"))
+    a, b = grams.select("g", F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("n").alias("na")), grams.select("g", F.col("k").alias("kb"), F.col("s").alias("sb"), F.col("n").alias("nb"))
+    close = 2 * F.least("na", "nb") >= ratio * (F.col("na") + F.col("nb"))
     cand = a.join(b, "g").where((F.col("sa") < F.col("sb")) & close).select("ka", "sa", "kb", "sb").distinct()
+    wa, wb = rare.select(F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("all").alias("wa"), F.col("lost").alias("la")), rare.select(F.col("k").alias("kb"), F.col("s").alias("sb"), F.col("all").alias("wb"), F.col("lost").alias("lb"))
+    kept = F.size(F.array_intersect("wa", "wb")) >= F.greatest(F.size("wa"), F.size("wb")) - F.greatest("la", "lb")
+    cand = cand.join(wa, ["ka", "sa"]).join(wb, ["kb", "sb"]).where(kept).select("ka", "sa", "kb", "sb")
     ta, tb = t.select(F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("t").alias("ta")), t.select(F.col("k").alias("kb"), F.col("s").alias("sb"), F.col("t").alias("tb"))
-    full = cand.join(ta, ["ka", "sa"]).join(tb, ["kb", "sb"]).where("ta <> tb").withColumn("ratio", indel_ratio("ta", "tb"))
+    full = cand.join(ta, ["ka", "sa"]).join(tb, ["kb", "sb"]).where("ta <> tb").repartition(workers(df.sparkSession) * 2)
+    full = full.withColumn("ratio", indel_ratio("ta", "tb"))
     return full.where(F.col("ratio") >= ratio).select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), F.round("ratio", 9).alias("ratio"))
 
 

@@ -169,8 +169,8 @@ def q_code_point_view(spark, sf):
 
 
 def q_visual_order(spark, sf):
-    """Lines that fit better when read the wrong way round."""
-    df = line_evals(spark, sf).where("prediction is not null")
+    """Of the lines with errors those that fit better when read the wrong way round."""
+    df = line_evals(spark, sf).where("reference <> prediction")
     df = df.withColumn("visual", X.visual_order("prediction")).withColumn("reversed", F.array_join(F.reverse(X.graphemes("prediction")), ""))
     rate = lambda c: A.error_rate(A.aligned_units(X.graphemes("reference"), X.graphemes(c)))
     df = df.select("eval_id", F.size(X.graphemes("reference")).alias("n"), rate("prediction").alias("logical"), F.least(rate("visual"), rate("reversed")).alias("other"))
