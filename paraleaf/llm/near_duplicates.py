@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.shared import workers, written
 from .words import words
@@ -30,6 +31,9 @@ from .words import words
 CELL = 4096
 TILE = 512
 PARTNERS = 512
+KNOWN_TOKENS = 1_000_000
+_LONG, _INT = T.LongType(), T.IntegerType()
+POSTING = T.StructType([T.StructField(n, t) for n, t in (("tok", _LONG), ("lo", _INT), ("hi", _INT), ("id", _LONG), ("side", _INT), ("size", _INT), ("pos", _INT), ("b0", _LONG), ("b1", _LONG), ("b2", _LONG), ("b3", _LONG))])
 
 
 def _tokenised(df: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
@@ -65,6 +69,48 @@ def _tokenised(df: DataFrame, key: str, text: str, least_words: int) -> DataFram
     return src.mapInArrow(run, "id long, sig string, size int, toks array<long>, b0 long, b1 long, b2 long, b3 long")
 
 
+def _postings(reps: DataFrame, ratio: Fraction) -> DataFrame:
+    """(tok, lo, hi, id, side, size, pos, b0..b3): each set's prefix, rarest tokens first, in the cells of the tokens' lists.
+
+    Only how often tokens are held that at least ``total / KNOWN_TOKENS`` sets hold is sent around: these are at most ``KNOWN_TOKENS``,
+    whatever the data; rarer tokens come first in hash order and their lists are short.
+    """
+    spark = reps.sparkSession
+    counts = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    total = reps.agg(F.sum("size").alias("n")).first()["n"] or 0
+    known = counts.where(F.col("n") >= max(2, -(-total // KNOWN_TOKENS))).toArrow()
+    tok = known.column("tok").to_numpy()
+    order = np.argsort(tok)
+    shared = spark.sparkContext.broadcast((tok[order], known.column("n").to_numpy()[order].astype(np.int32)))
+    a, b = ratio.numerator, ratio.denominator
+
+    def run(batches):
+        keys, held = shared.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            ids, sizes = batch.column("id").to_numpy(), batch.column("size").to_numpy()
+            maps = [batch.column(f"b{k}").to_numpy() for k in range(4)]
+            lists = batch.column("toks")
+            flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
+            n = np.where(keys[at] == flat, held[at], 0) if len(keys) else np.zeros(len(flat), np.int32)
+            row = np.repeat(np.arange(len(ids)), np.diff(cuts))
+            order = np.lexsort((flat, n, row))
+            pos = np.arange(len(flat)) - cuts[row]
+            flat, n = flat[order], n[order]
+            keep = pos <= sizes[row] - -(-sizes[row].astype(np.int64) * a // b)
+            flat, n, row, pos = flat[keep], n[keep], row[keep], pos[keep]
+            blocks = np.maximum(1, -(-n // CELL))
+            side = (ids[row] * np.int64(0x9E3779B1) >> 12) % blocks
+            rep = np.repeat(np.arange(len(flat)), blocks)
+            other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            r, s = row[rep], side[rep]
+            cols = [flat[rep], np.minimum(s, other).astype(np.int32), np.maximum(s, other).astype(np.int32), ids[r], s.astype(np.int32), sizes[r], pos[rep].astype(np.int32), *[m[r] for m in maps]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=POSTING.names)
+
+    return reps.select("id", "size", "toks", "b0", "b1", "b2", "b3").mapInArrow(run, POSTING)
+
+
 def _groups(batches, keys: int):
     """Runs of rows with equal leading columns out of sorted Arrow batches, as numpy columns."""
     held: list[list[np.ndarray]] = []
@@ -180,16 +226,8 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float
     num, den = share.numerator, share.denominator
     sets = written(_tokenised(df, key, text, max(1, least_words)), "sets")
     members = written(sets.select("id", "sig").join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("id", "rep"), "members")
-    reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi")
-    counts = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
-    ordered = reps.select("id", F.explode("toks").alias("tok")).join(counts, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("o"))
-    prefix = F.expr(f"slice(o, 1, size(o) - cast(ceil(size(o) * {ratio.numerator} / {ratio.denominator}) as int) + 1)")
-    posts = ordered.select("id", F.posexplode(prefix).alias("pos", "t")).where("t.n > 1")
-    posts = posts.join(reps.select("id", "size", "b0", "b1", "b2", "b3"), "id")
-    blocks = F.ceil(F.col("t.n") / CELL)
-    posts = posts.withColumn("blocks", blocks.cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    posts = posts.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    posts = posts.select(F.col("t.tok").alias("tok"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "id", "side", "size", "pos", "b0", "b1", "b2", "b3")
+    reps = written(sets.join(members.where("id = rep").select("id"), "id", "left_semi"), "reps")
+    posts = _postings(reps, ratio)
     cells = posts.repartition(workers(spark) * 4, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
     links = _verify(written(_candidates(cells, num, den), "candidates"), reps.select("id", "toks"), ratio)
     return members, written(links, "links")
