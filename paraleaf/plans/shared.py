@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; without one named, a temporary folder in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("spark.paraleaf.own.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="paraleaf-")

@@ -173,9 +173,9 @@ def paired_parity(page: DataFrame, alto_pages: DataFrame) -> DataFrame:
 TSV = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
 
 
-def recogniser_tsv(df: DataFrame) -> DataFrame:
-    """Lines of a recogniser's word table (columns of ``TSV``): words joined in order, mean confidence, outer box."""
-    keys = ["page_num", "block_num", "par_num", "line_num"]
+def recogniser_tsv(df: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """Lines of a recogniser's word table (columns of ``TSV``, and those of ``of`` that tell files apart): words joined in order, mean confidence, outer box."""
+    keys = [*(of or []), "page_num", "block_num", "par_num", "line_num"]
     w = df.where("level = 5 and text is not null and trim(text) <> ''").withColumn("w", F.struct("left", "top", "text")).withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(F.coalesce("word_num", "left"), "left")))
     g = w.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"), F.round(F.avg("conf"), 6).alias("conf"), F.min("left").alias("x1"), F.min("top").alias("y1"), F.max(F.col("left") + F.col("width")).alias("x2"), F.max(F.col("top") + F.col("height")).alias("y2"))
     return g
