@@ -77,7 +77,7 @@ def decoded(payload: str | None):
     v = payload
     while isinstance(v, str):
         try:
-            v = json.loads(v)
+            v = json.loads(v.removeprefix("\ufeff"))
         except (ValueError, RecursionError):
             return None
     return v

@@ -9,7 +9,7 @@ from .functions.text import word_list
 from .operators import admission as D
 from .operators import tables as TB
 from .operators.layout_text import visual_lines
-from .queries_pages import PP, gold, pred
+from .queries_pages import _IE, PP, gold, pred, q_implied_edges
 from .queries_text import WORDS
 from .sources import pages as S
 
@@ -138,7 +138,47 @@ def q_sanity(spark, sf):
     return c.select("system", ok.alias("as_expected"))
 
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
+def q_text_agreement(spark, sf):
+    """How far prediction and reference agree as two extractions of one line, per model; all three floors must hold."""
+    from .operators.agreement import text_agreement
+    from .queries_text import line_evals
+
+    df = line_evals(spark, sf, ("model_name", "reference", "prediction")).withColumn("a", text_agreement("reference", "prediction"))
+    fit = (F.col("a.content") >= 0.985) & (F.col("a.order") >= 0.8) & (F.col("a.punctuation") >= 0.9)
+    return df.groupBy("model_name").agg(F.round(F.avg("a.content"), 9).alias("content"), F.round(F.avg("a.order"), 9).alias("order"), F.round(F.avg("a.punctuation"), 9).alias("punctuation"), F.count_if(fit).alias("n_fit"))
+
+
+def q_remapped_edges(spark, sf):
+    """Implied prediction edges in gold ids, nodes matched by their shared region id."""
+    from .operators.agreement import remapped_edges
+
+    nodes = pred(spark, sf, "regions").select("page_id", F.explode("regions").alias("r")).select("page_id", F.col("r.region_id").alias("node")).distinct()
+    held = gold(spark, sf, "regions").select("page_id", F.explode("regions").alias("r")).select("page_id", F.col("r.region_id").alias("node"), F.col("r.region_id").alias("gold_id")).distinct()
+    return remapped_edges(q_implied_edges(spark, sf), nodes, held)
+
+
+def q_participant_pack(spark, sf):
+    """The participants' view of gold pages and whether anything in it gives gold away."""
+    from .operators.packs import given_away, participant_pack
+    from .queries_corpus import KEY
+
+    pack = participant_pack(gold(spark, sf, "regions"), KEY)
+    bad = given_away(pack).agg(F.count("*").alias("n_given_away"))
+    return pack.agg(F.count("*").alias("n_pages"), F.sum(F.size("layout")).alias("n_regions")).crossJoin(bad)  # single rows
+
+
+def q_mapped_back(spark, sf):
+    """A submission under public ids carried back to page ids, and what is wrong with its ids."""
+    from .operators.corpus import hmac_id
+    from .operators.packs import id_map, map_back
+    from .queries_corpus import KEY
+
+    submission = pred(spark, sf).select(hmac_id(KEY, "page", F.col("page_id")).alias("public_id"))
+    rows, problems = map_back(submission, id_map(gold(spark, sf), KEY))
+    return rows.select(F.lit("mapped").alias("state")).unionByName(problems.select(F.col("problem").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and k != "q_implied_edges"}
 
 _L = "(SELECT page_id, region_id, b, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM (SELECT page_id, r.region_id AS region_id, r.lines AS lines, b FROM (SELECT page_id, unnest(regions) AS r, generate_subscripts(regions, 1) AS b FROM gold_pages)))"
 ORACLE = {
@@ -148,4 +188,9 @@ ORACLE = {
     "q_source_jsonl": f"SELECT page_id, l.line_id AS line_id, l.text AS text FROM {_L}",
     "q_source_points": "SELECT page_id, r.region_id AS region_id, len(r.polygon) AS n, list_sum(list_transform(r.polygon, lambda p: p[1] + p[2])) AS total FROM (SELECT page_id, unnest(regions) AS r FROM gold_pages)",
     "q_source_html": "SELECT page_id, table_id, c.row_start AS row_start, c.row_end AS row_end, c.col_start AS col_start, c.col_end AS col_end, nfc_normalize(trim(c.text)) AS text FROM (SELECT page_id, t.table_id AS table_id, unnest(t.cells) AS c FROM (SELECT page_id, unnest(tables) AS t FROM gold_pages))",
+    "q_remapped_edges": f"""WITH g AS (SELECT DISTINCT page_id, r.region_id AS n FROM (SELECT page_id, unnest(regions) AS r FROM gold_pages)), p AS (SELECT DISTINCT page_id, r.region_id AS n FROM (SELECT page_id, unnest(regions) AS r FROM {PP}) WHERE r.region_id IS NOT NULL),
+      m AS (SELECT page_id, p.n, g.n AS gid, row_number() OVER (PARTITION BY page_id, g.n IS NULL ORDER BY p.n) - 1 AS k FROM p LEFT JOIN g USING (page_id, n)), x AS (SELECT page_id, n, coalesce(gid, '__prediction_unmatched__:' || k || ':' || n) AS name FROM m)
+      SELECT e.page_id, a.name AS a, b.name AS b FROM {_IE} e JOIN x a ON e.page_id = a.page_id AND e.a = a.n JOIN x b ON e.page_id = b.page_id AND e.b = b.n""",
+    "q_participant_pack": "SELECT count(*) AS n_pages, CAST(sum(len(regions)) AS BIGINT) AS n_regions, 0::BIGINT AS n_given_away FROM gold_pages",
+    "q_mapped_back": f"SELECT state, count(*) AS n FROM (SELECT CASE WHEN g.page_id IS NULL THEN 'unknown' WHEN p.page_id IS NULL THEN 'missing' ELSE 'mapped' END AS state FROM gold_pages g FULL JOIN {PP} p ON g.page_id = p.page_id) GROUP BY 1",
 }

@@ -22,6 +22,7 @@ def test_states():
 def test_points_of_all_encodings():
     got = [r[2:5] for r in rows_of(1, json.dumps({"result": {"pages": [PAGE]}}), "point")]
     assert got == [("r1", "l1", 1), ("r1", "l1", 2), ("r1", "l2", 0), ("r2", "l1", 1), ("r2", "l1", 2), ("r2", "l1", 3), ("r3", "l1", 1)]
+    assert len(list(rows_of(1, "\ufeff" + json.dumps(PAGE), "point"))) == 7
     twice = json.dumps(json.dumps(PAGE))
     assert len(list(rows_of(1, twice, "point"))) == 7
     assert [r[4] for r in rows_of(1, json.dumps(PAGE), "region")] == [None, "r1", None, None]
