@@ -49,8 +49,8 @@ def p2_counts(spark, sf):
 RELATED = ["writer", "source_doc", "entity"]
 
 
-def _samples(spark, sf):
-    rows = once(table(spark, sf, "samples", ["item_no", "context_id", *RELATED, "metadata", "received_at"]), "item_no")
+def _samples(spark, sf, *more):
+    rows = once(table(spark, sf, "samples", ["item_no", "context_id", *RELATED, *more, "received_at"]), "item_no")
     contexts = table(spark, sf, "conversion_contexts", ["context_id", "split", "track"]).dropDuplicates(["context_id"])
     return rows.join(contexts, "context_id", "left").withColumn("split", plain_split(F.col("split")))
 
@@ -60,7 +60,7 @@ def p3_found(spark, sf):
 
 
 def p3_new_splits(spark, sf):
-    records = _samples(spark, sf).withColumn("profile", F.try_element_at("metadata", F.lit("profile")))
+    records = _samples(spark, sf, "metadata").withColumn("profile", F.try_element_at("metadata", F.lit("profile")))
     return stratified_splits(records, "item_no", RELATED, ["track", "profile"], {"train": 0.8, "dev": 0.1, "test": 0.1})
 
 
