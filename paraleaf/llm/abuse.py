@@ -171,7 +171,7 @@ def _log_odds(pos: Counter, neg: Counter, prior: Counter, weight: float) -> dict
     p, n = sum(pos.values()), sum(neg.values())
     out = {}
     for t in pos.keys() | neg.keys():
-        a, b = pos[t], neg[t]
+        a, b = pos[t], max(0, neg[t])
         if a + b < 3:
             continue
         prior_t = weight * (prior[t] + 0.5) / total
@@ -194,7 +194,8 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
     other sentences and, a second time, against the sentences of clean documents that hold telling words (quotes, reports, lists).
     """
     m = Model()
-    docs = [(sentences(t), y) for t, y in labelled if t]
+    same: dict[str, str] = {}  # one object per word: the sample repeats its words many times over
+    docs = [([[same.setdefault(w, w) for w in s] for s in sentences(t)], y) for t, y in labelled if t]
     seen = Counter(w for ss, _ in docs for s in ss for w in set(s))
     m.regular = {w for w, k in seen.items() if k >= 5}
     prior = corpus or seen
@@ -203,7 +204,11 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
     held_pos: Counter = Counter()
     held_neg: Counter = Counter()
     for ss, y in docs:
-        (held_pos if y > 0 else held_neg).update({t for w in ss for t in [*w, *_pairs(w)]})
+        if y > 0:
+            held_pos.update({t for w in ss for t in [*w, *_pairs(w)]})
+    for ss, y in docs:
+        if y < 0:
+            held_neg.update({t for w in ss for t in [*w, *_pairs(w)] if t in held_pos})
     n_pos, n_neg = sum(1 for _, y in docs if y > 0), sum(1 for _, y in docs if y < 0)
     for t, k in held_pos.items():
         x, y = k + 0.5, held_neg[t] + 0.5
@@ -211,10 +216,12 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
         if d > 1 and d / math.sqrt(1 / x + 1 / y) >= 2.5 and k >= 3:
             m.score[t] = min(d, 4.0)
     m.prepare()
+    del held_pos, held_neg
     all_sets: Counter = Counter()
     for ss, _ in docs:
         for w in ss:
             all_sets.update({*w, *_pairs(w)})
+    all_sets = Counter({t: k for t, k in all_sets.items() if k >= 3})  # rarer tokens get no score
     for _ in range(ROUNDS):
         pos: Counter = Counter()
         neg = Counter(all_sets)
@@ -308,8 +315,9 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, key: str, text: str, keep:
     spark = docs.sparkSession
     keep = keep or []
     votes = label_votes(labels, key, "label").orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(votes), key).select(text, "vote").collect()
-    labelled = sorted((r[0], float(r[1])) for r in sample)
+    sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(votes), key).select(text, "vote").toArrow()
+    labelled = sorted(zip(sample.column(0).to_pylist(), map(float, sample.column(1).to_pylist()), strict=True))
+    del sample
     vocabulary = {w for t, _ in labelled for s in sentences(t) for w in s}
     shared = spark.sparkContext.broadcast(fit(labelled, _word_counts(docs, text, vocabulary) if labelled else Counter()))
     from pyspark.sql import types as T
