@@ -221,7 +221,7 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
     for ss, _ in docs:
         for w in ss:
             all_sets.update({*w, *_pairs(w)})
-    all_sets = Counter({t: k for t, k in all_sets.items() if k >= 3})  # rarer tokens get no score
+    all_sets = Counter({t: k for t, k in all_sets.items() if k >= 2})  # single ones hardly score
     for _ in range(ROUNDS):
         pos: Counter = Counter()
         neg = Counter(all_sets)
