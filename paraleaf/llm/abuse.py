@@ -26,6 +26,8 @@ PRIOR_WEIGHT = 400.0
 ROUNDS = 3
 STEP = 0.3
 CONTEXT = 10
+RARE = 6e-5
+NOVEL_RUN = 4
 # Signs and digits that stand for letters in disguised words.
 STANDS_FOR = str.maketrans("013457@$", "oieastas")
 _SENTENCE = re.compile("[.?!;:|\\n\\r  \u0085]+")
@@ -216,28 +218,46 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
         if d > 1 and d / math.sqrt(1 / x + 1 / y) >= 2.5 and k >= 3:
             m.score[t] = min(d, 4.0)
     m.prepare()
+    # Where that leaves most abusive documents without a telling sentence, because marks are few, sentences with a run of words that
+    # the documents hardly use and the clean ones hardly hold make the first guess.
+    told = sum(1 for ss, y in docs if y > 0 and any(max((g[2] for g in m.segments(m.tokens(w))), default=0.0) > telling_cut for w in ss if m.telling(w)))
+    few = told * 4 < n_pos
+    mass = sum(prior.values()) or 1
+
+    odd = {w for w in seen if prior[w] < RARE * mass}
+    mine = {w for w in odd if held_pos[w] and math.log((held_pos[w] + 0.5) / (n_pos + 1)) - math.log((held_neg[w] + 0.5) / (n_neg + 1)) > 0.5}
+
+    def novel(words: list[str], among: set[str]) -> bool:
+        run = 0
+        for w in words:
+            run = run + 1 if w in among else 0
+            if run >= NOVEL_RUN:
+                return True
+        return False
+
     del held_pos, held_neg
     all_sets: Counter = Counter()
     for ss, _ in docs:
         for w in ss:
             all_sets.update({*w, *_pairs(w)})
     all_sets = Counter({t: k for t, k in all_sets.items() if k >= 2})  # single ones hardly score
-    for _ in range(ROUNDS):
+    for r in range(ROUNDS):
         pos: Counter = Counter()
         neg = Counter(all_sets)
         mention: Counter = Counter()
         n_abusive = n_mention = 0
         for ss, y in docs:
             for raw in ss:
-                if not m.telling(raw):
+                first = few and r == 0 and novel(raw, mine if y > 0 else odd)
+                if not first and not m.telling(raw):
                     continue
                 w = m.tokens(raw)
                 t = {*w, *_pairs(w)}
-                if y > 0 and max((g[2] for g in m.segments(w)), default=0.0) > telling_cut:
+                if y > 0 and (first or max((g[2] for g in m.segments(w)), default=0.0) > telling_cut):
                     pos.update(t)
                     neg.subtract({*raw, *_pairs(raw)})
                     n_abusive += 1
-                elif y < 0 and max((g[2] for g in maximal_segments(m.scores(w))), default=0.0) > telling_cut / 2:
+                elif y < 0 and (first or max((g[2] for g in maximal_segments(m.scores(w))), default=0.0) > telling_cut / 2):
                     mention.update(t)
                     n_mention += 1
         background = _log_odds(pos, neg, prior, PRIOR_WEIGHT)
