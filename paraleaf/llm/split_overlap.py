@@ -3,11 +3,11 @@
 The distinct texts of the evaluation splits are laid out in shards of bounded size. Each shard is an FM-index: the
 Burrows-Wheeler transform as one bit vector with rank counts per symbol, and the order of the suffixes for locating. The
 distinct training texts are streamed past the shards where they lie (they are never shuffled) and searched backwards from
-every second position; matches on one diagonal merge into maximal spans, and spans into the counts of a pair of texts. Pairs
-whose spans cover too little are dropped, the rest are decided by the exact number of characters shared in order.
+every position for short seeds (4 characters at 0.88); the seeds are counted per pair of texts. Pairs with fewer common seeds
+than the ratio forces on them, or too few common characters in any order, are dropped, the rest are decided by the exact number of
+characters shared in order.
 
-A pair is found if it has a common run of at least ``SEED + STRIDE - 1`` = 13 characters and such runs make up a fifth of the shorter
-text; README gives the recall measured against brute force. Shards live in the shared folder, so a lost executor only reads again.
+Both bounds hold wherever the edits stand, so every pair is found. Shards live in the shared folder, so a lost executor only reads again.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from ..plans.shared import new_path, workers, written
 from .words import bare
 
-SEED = 12
-STRIDE = 2
-COVER = Fraction(1, 5)
+LONGEST_SEED = 12
+SPAN = 12
 SHARD_CHARS = 4_000_000
 BLOCK_CHARS = 400_000
 SYMBOLS = 63
+#: What is kept of an index.
+KEPT = {"starts": np.int64, "alphabet": np.uint32, "order": np.int32, "owner": np.int32, "held_symbols": np.int32, "bits": np.uint64, "ranks": np.int32, "before": np.int64}
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -71,6 +72,10 @@ class Index:
             ranks[c, 1:] = np.cumsum(np.bitwise_count(bits[c]))[:-1]
         self.bits, self.ranks = bits.ravel(), ranks.ravel()
         self.before = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=SYMBOLS + 1))])[: SYMBOLS + 1].astype(np.int64)
+        owner = np.searchsorted(self.starts, np.arange(n), "right") - 1
+        self.owner = owner[self.order].astype(np.int32)
+        self.held_symbols = np.bincount(owner * (SYMBOLS + 1) + x, minlength=len(self.starts) * (SYMBOLS + 1)).reshape(-1, SYMBOLS + 1).astype(np.int32)
+        self.held_symbols[:, 0] = 0
 
     def encode(self, chars: np.ndarray) -> np.ndarray:
         """Symbols 1 to ``SYMBOLS``; separators and rarer characters are 0, which matches nothing."""
@@ -94,15 +99,16 @@ class Index:
         return ends, lo, hi
 
     def save(self) -> dict[str, bytes]:
-        return {k: getattr(self, k).tobytes() for k in ("starts", "alphabet", "order", "bits", "ranks", "before")}
+        return {k: getattr(self, k).tobytes() for k in KEPT}
 
     @classmethod
     def load(cls, parts: dict[str, bytes]) -> Index:
         x = cls.__new__(cls)
-        for k, kind in (("starts", np.int64), ("alphabet", np.uint32), ("order", np.int32), ("bits", np.uint64), ("ranks", np.int32), ("before", np.int64)):
+        for k, kind in KEPT.items():
             setattr(x, k, np.frombuffer(parts[k], kind))
         x.n = len(x.order)
         x.words = x.n // 64 + 1
+        x.held_symbols = x.held_symbols.reshape(-1, SYMBOLS + 1)
         return x
 
 
@@ -128,57 +134,82 @@ def shared_in_order(a: str, b: str) -> int:
     return s + e + len(a) - v.bit_count()
 
 
+def seed_length(ratio: Fraction) -> int:
+    """The longest seed that texts of ``ratio`` must share if they are long enough, wherever the edits stand."""
+    a, b = ratio.numerator, ratio.denominator
+    return LONGEST_SEED if a >= b else max(1, min(LONGEST_SEED, -(-a // (2 * (b - a)))))
+
+
+def common_spans(a: str, b: str, least: int = SPAN) -> tuple[int, int]:
+    """(spans, longest): the maximal common runs of at least ``least`` characters."""
+    if a == b:
+        return 1, len(a)
+    where: dict[str, list[int]] = {}
+    for j in range(len(b) - least + 1):
+        where.setdefault(b[j : j + least], []).append(j)
+    ends: dict[int, tuple[int, int]] = {}  # of each diagonal the last run's start and last seed
+    n = longest = 0
+    for i in range(len(a) - least + 1):
+        for j in where.get(a[i : i + least], ()):
+            start, last = ends.get(j - i, (i, -2))
+            if last != i - 1:
+                start = i
+                n += 1
+            ends[j - i] = (start, i)
+            longest = max(longest, i - start + least)
+    return n, longest
+
+
 def _pairs_in(index: Index, names: list[str], texts: list[str], train_names: list[str], train: list[str], ratio: Fraction):
-    """Pairs of one block of training texts and one shard."""
+    """Pairs of one block of training texts and one shard.
+
+    Two texts of together s characters that share L of them in order share them in at most s - 2L + 1 runs, so at least
+    L - (seed - 1) * (s - 2L + 1) seeds stand in those runs. That many places of the held text must hold a seed of the training text.
+    """
     chars, starts = _as_codes(train)
     x = index.encode(chars)
+    seed = seed_length(ratio)
+    a, b = ratio.numerator, ratio.denominator
     lens = np.diff(np.append(starts, len(x))) - 1
-    counts = np.maximum((lens - SEED) // STRIDE + 1, 0)
+    counts = np.maximum(lens - seed + 1, 0)
     text_of = np.repeat(np.arange(len(train)), counts)
-    ends = starts[text_of] + SEED + STRIDE * (np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts))
-    ends, lo, hi = index.search(x, ends, SEED)
-    if not len(ends):
-        return
+    ends = starts[text_of] + seed + np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    ends, lo, hi = index.search(x, ends, seed)
+    cuts = np.searchsorted(ends - 1, np.append(starts, len(x)))
     held_lens = np.diff(np.append(index.starts, index.n)) - 1
-    step = max(1, int(3_000_000 / max(1.0, float((hi - lo).mean()))))
-    # Whole texts at a time, so that a pair's counts come together.
-    text_of = np.searchsorted(starts, ends - 1, "right") - 1
-    cuts = [0]
-    while cuts[-1] < len(ends):
-        nxt = min(cuts[-1] + step, len(ends))
-        cuts.append(int(np.searchsorted(text_of, text_of[nxt - 1], "right")))
-    for s, e in zip(cuts, cuts[1:]):
-        n = hi[s:e] - lo[s:e]
-        rep = np.repeat(np.arange(s, e), n)
-        at = index.order[np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s:e], n)].astype(np.int64)
-        held = np.searchsorted(index.starts, at, "right") - 1
-        t = text_of[rep]
-        pair = t * len(texts) + held
-        u, inv, k = np.unique(pair, return_inverse=True, return_counts=True)
-        ut, uh = u // len(texts), u % len(texts)
-        short, long = np.minimum(lens[ut], held_lens[uh]), np.maximum(lens[ut], held_lens[uh])
-        a, b = ratio.numerator, ratio.denominator
-        good = (k * STRIDE + SEED - STRIDE) * COVER.denominator >= COVER.numerator * short
-        good &= 2 * short * b >= a * (short + long)
-        if not good.any():
+    size = -1
+    for t in np.argsort(lens, kind="stable").tolist():
+        if lens[t] != size:
+            size = int(lens[t])
+            both = size + held_lens
+            low = -(-a * both // (2 * b))
+            need = low - (seed - 1) * (both - 2 * low + 1)
+            able = np.minimum(size, held_lens) >= low
+            least = int(need[able].min()) if able.any() else 0
+            need = np.where(able, need, 2 * index.n).astype(np.int32)
+        if not able.any():
+            continue
+        rows, first, times = np.unique(lo[cuts[t] : cuts[t + 1]], return_index=True, return_counts=True)
+        till = hi[cuts[t] : cuts[t + 1]][first]
+        # The most frequent seeds are not looked up; the places they take are taken off what is needed.
+        order = np.argsort(rows - till, kind="stable")
+        taken = np.cumsum(times[order])
+        skip = int(np.searchsorted(taken, least // 2, "right"))
+        lost = int(taken[skip - 1]) if skip else 0
+        lists = [index.owner[i:j] for i, j in zip(rows[order[skip:]].tolist(), till[order[skip:]].tolist(), strict=True)]
+        k = np.bincount(np.concatenate(lists), minlength=len(texts)) if lists else np.zeros(len(texts), np.int64)
+        ta = train[t]
+        near = np.flatnonzero(k >= need - lost)
+        if not len(near):
             continue
-        sel = good[inv]
-        inv, place, diag = inv[sel], ends[rep][sel], (at - ends[rep])[sel]
-        order = np.lexsort((place, diag, inv))
-        inv, place, diag = inv[order], place[order], diag[order]
-        fresh = np.r_[True, (inv[1:] != inv[:-1]) | (diag[1:] != diag[:-1]) | (place[1:] > place[:-1] + SEED)]
-        first = np.flatnonzero(fresh)
-        final = np.r_[first[1:], len(inv)] - 1
-        size = place[final] - place[first] + SEED
-        spans = np.bincount(inv[first], minlength=len(u))
-        longest = np.zeros(len(u), np.int64)
-        np.maximum.at(longest, inv[first], size)
-        covered = np.bincount(inv[first], weights=size, minlength=len(u))
-        for p in np.flatnonzero(good & (covered * COVER.denominator >= COVER.numerator * short)).tolist():
-            ta, tb = train[ut[p]], texts[uh[p]]
+        # Nor can they share more of a symbol than either holds.
+        mine = np.bincount(x[starts[t] : starts[t] + size], minlength=SYMBOLS + 1)
+        near = near[np.minimum(index.held_symbols[near], mine).sum(1) >= low[near]]
+        for h in near.tolist():
+            tb = texts[h]
             common = shared_in_order(ta, tb)
             if 2 * common * b >= a * (len(ta) + len(tb)):
-                yield train_names[ut[p]], names[uh[p]], common, len(ta), len(tb), int(spans[p]), int(longest[p])
+                yield train_names[t], names[h], common, len(ta), len(tb), *common_spans(ta, tb)
 
 
 def _read_shard(path: str, shard: int) -> tuple[Index, list[str], list[str]]:

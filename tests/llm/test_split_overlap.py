@@ -72,3 +72,25 @@ def test_empty(spark):
     _, df = records(spark)
     assert S.overlapping_pairs(df.limit(0), 0.88, 80).count() == 0
     assert S.overlapping_pairs(df.where("split = 'train'"), 0.88, 80).count() == 0
+
+
+def pairs_of(held, train):
+    got = S._pairs_in(S.Index.load(S.Index(held).save()), list(map(str, range(len(held)))), held, list(map(str, range(len(train)))), train, S.Fraction("0.88"))
+    return {(int(a), int(b)) for a, b, *_ in got}
+
+
+def test_edits_spread_out():
+    rng = random.Random(5)
+    held, train = [], []
+    for i in range(60):
+        t = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(80, 260))]
+        held.append("".join(t))
+        if i % 3 == 0:  # a substitution every 10 characters
+            t[5::10] = ["z"] * len(t[5::10])
+        elif i % 3 == 1:  # now one lost, now one added, runs of 4 or 5
+            t = [c for k, c in enumerate(t) for c in ([] if k % 9 == 4 else [c, "y"] if k % 18 == 8 else [c])]
+        else:
+            t = [rng.choice("abcdefghijklmnopqrst") if rng.random() < 0.12 else c for c in t]
+        train.append("".join(t))
+    want = {(i, j) for i, x in enumerate(train) for j, y in enumerate(held) if 2 * lcs(x, y) * 100 >= 88 * (len(x) + len(y))}
+    assert len(want) > 40 and pairs_of(held, train) == want
