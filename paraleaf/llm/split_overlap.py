@@ -30,7 +30,7 @@ SHARD_CHARS = 4_000_000
 BLOCK_CHARS = 400_000
 SYMBOLS = 63
 #: What is kept of an index.
-KEPT = {"starts": np.int64, "alphabet": np.uint32, "order": np.int32, "owner": np.int32, "held_symbols": np.int32, "bits": np.uint64, "ranks": np.int32, "before": np.int64}
+KEPT = {"starts": np.int64, "alphabet": np.uint32, "symbols": np.uint8, "order": np.int32, "owner": np.int32, "held_symbols": np.int32, "bits": np.uint64, "ranks": np.int32, "before": np.int64}
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -52,7 +52,9 @@ class Index:
     def __init__(self, texts: list[str]):
         chars, self.starts = _as_codes(texts)
         found, counts = np.unique(chars[chars != 0], return_counts=True)
-        self.alphabet = np.sort(found[np.argsort(-counts, kind="stable")[:SYMBOLS]])
+        place = np.empty(len(found), np.int64)
+        place[np.argsort(-counts, kind="stable")] = np.arange(len(found))
+        self.alphabet, self.symbols = found, (place % SYMBOLS + 1).astype(np.uint8)
         x = self.encode(chars)
         n = self.n = len(x)
         pad = np.concatenate([x, np.zeros(32, np.uint8)]).astype(np.uint64)
@@ -78,9 +80,14 @@ class Index:
         self.held_symbols[:, 0] = 0
 
     def encode(self, chars: np.ndarray) -> np.ndarray:
-        """Symbols 1 to ``SYMBOLS``; separators and rarer characters are 0, which matches nothing."""
-        i = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1) if len(self.alphabet) else np.zeros(len(chars), np.int64)
-        return np.where(self.alphabet[i] == chars, i + 1, 0).astype(np.uint8) if len(self.alphabet) else i.astype(np.uint8)
+        """Symbols 1 to ``SYMBOLS``; separators and characters that the shard lacks are 0, which matches nothing.
+
+        Every character of the shard has a symbol; beyond ``SYMBOLS`` characters rare ones share it with others, which can only add matches.
+        """
+        if not len(self.alphabet):
+            return np.zeros(len(chars), np.uint8)
+        i = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
+        return np.where(self.alphabet[i] == chars, self.symbols[i], 0).astype(np.uint8)
 
     def _step(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         k = c * self.words + (at >> 6)

@@ -94,3 +94,13 @@ def test_edits_spread_out():
         train.append("".join(t))
     want = {(i, j) for i, x in enumerate(train) for j, y in enumerate(held) if 2 * lcs(x, y) * 100 >= 88 * (len(x) + len(y))}
     assert len(want) > 40 and pairs_of(held, train) == want
+
+
+def test_many_scripts():
+    rng = random.Random(6)
+    held = []
+    for first, n in ((0x5D0, 27), (0x61, 26), (0x430, 32), (0x3B1, 17), (0x621, 26), (0x4E00, 90)):
+        held += ["".join(chr(first + rng.randrange(n)) for _ in range(100)) for _ in range(200 if first < 0x100 else 3)]
+    assert len(set("".join(held))) > 3 * S.SYMBOLS
+    near = [t[:50] + "7" + t[51:] for t in held]
+    assert pairs_of(held, held) == {(i, i) for i in range(len(held))} == pairs_of(held, near)
