@@ -1,7 +1,8 @@
 """Problem 7: held-out passages inside training texts.
 
-Rare n-gram seeds join texts to passages: word trigrams of the passages, without those that so many passages
-share that they are stock formulas. Where a text and a passage meet in enough seeds within the window,
+Rare n-gram seeds join texts to passages: word trigrams of the passages, without those that so many different passages
+of the whole set share that they are stock formulas; a passage of which that would leave less than two thirds of its words
+covered (one of many near copies) keeps all. Passages of the same words are searched once. Where a text and a passage meet in enough seeds within the window,
 Smith-Waterman alignment over words scores the stretch of text (a word misspelt by a few letters still
 matches), and an exact chain of the aligned stretches decides.
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .words import alike, plain_words
 
 BLOCK = 5000
@@ -27,31 +29,25 @@ GAP = 0.01
 class Passages:
     """The seed index of one block of passages."""
 
-    def __init__(self, numbers: list[int], texts: list[str], window: int):
+    def __init__(self, numbers: list[list[int]], texts: list[list[str]], window: int, stock: set[str]):
+        """``numbers`` has all passages of each word sequence of ``texts``; ``stock`` the trigrams to do without."""
         self.window = window
         self.vocabulary: dict[str, int] = {}
-        self.numbers, self.words, self.ids = [], [], []
-        for no, text in zip(numbers, texts, strict=True):
-            w = plain_words(text)
-            if w:
-                self.numbers.append(no)
-                self.words.append(w)
-                self.ids.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
+        self.numbers, self.words = numbers, texts
+        self.ids = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64) for w in texts]
         base = self.base = len(self.vocabulary) + 1
         keys, owner, place = [], [], []
-        for p, ids in enumerate(self.ids):
+        for p, (ids, w) in enumerate(zip(self.ids, texts, strict=True)):
             k = (ids[:-2] * base + ids[1:-1]) * base + ids[2:]
-            keys.append(k)
-            owner.append(np.full(len(k), p))
-            place.append(np.arange(len(k)))
+            at = np.array([i for i in range(len(k)) if " ".join(w[i : i + 3]) not in stock], np.int64) if stock else np.arange(len(k))
+            if len(np.unique(np.concatenate([at, at + 1, at + 2]))) * 3 < 2 * len(w):
+                at = np.arange(len(k))
+            keys.append(k[at])
+            owner.append(np.full(len(at), p))
+            place.append(at)
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         own = np.concatenate(owner) if owner else key
         pos = np.concatenate(place) if place else key
-        if len(key):  # stock formulas: seeds of too many passages
-            u, inv = np.unique(key, return_inverse=True)
-            held = np.bincount(np.unique(np.stack([inv, own], 1), axis=0)[:, 0], minlength=len(u))
-            keep = held[inv] <= max(3, STOCK_SHARE * len(self.ids))
-            key, own, pos = key[keep], own[keep], pos[keep]
         order = np.argsort(key, kind="stable")
         self.key, self.own, self.pos = key[order], own[order], pos[order]
         self.half = np.array([(len(w) + 1) // 2 for w in self.words], np.int64)
@@ -185,7 +181,25 @@ def _leaks_in(index: Passages, docs: list, word_lists: list[list[str]], shortest
             if w > best[0]:
                 best = (w, a + x, b + x)
         if best[0] * 2 >= len(pw):
-            yield docs[d], index.numbers[p], best[0], len(pw), round(score, 2), best[1], best[2]
+            for no in index.numbers[p]:
+                yield docs[d], no, best[0], len(pw), round(score, 2), best[1], best[2]
+
+
+def word_sequences(held: DataFrame) -> DataFrame:
+    """(w, numbers): each different word sequence of the passages (n, p), blanks between, and the passages that are it."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(plain_words(x)) for x in batch.column(1).to_pylist()], pa.string())], names=["n", "w"])
+
+    return held.select("n", "p").mapInArrow(run, "n long, w string").where("w <> ''").groupBy("w").agg(F.sort_array(F.collect_list("n")).alias("numbers"))
+
+
+def stock_trigrams(sequences: DataFrame, n: int) -> set[str]:
+    """Trigrams in more than ``STOCK_SHARE`` of all ``n`` word sequences; their number is bounded by the length of a passage over that share."""
+    w = sequences.select(F.split("w", " ").alias("w")).where("size(w) >= 3")
+    grams = w.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))).alias("g"))
+    return {r["g"] for r in grams.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > max(3, STOCK_SHARE * n)).collect()}
 
 
 def leaks(docs: DataFrame, passages: DataFrame, key: str, text: str, number: str, passage: str, window: int = 200, shortest: int = 5) -> DataFrame:
@@ -201,11 +215,14 @@ def leaks(docs: DataFrame, passages: DataFrame, key: str, text: str, number: str
     schema = StructType.fromDDL("doc_id long, passage_no long, words_found int, passage_words int, score double, first_word int, last_word int")
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     held = passages.select(F.col(number).cast("long").alias("n"), F.col(passage).alias("p")).where("n is not null and p is not null").dropDuplicates(["n"])
-    blocks = max(1, -(-held.count() // BLOCK))
+    held = written(word_sequences(held), "passages")
+    n = held.count()
+    blocks = max(1, -(-n // BLOCK))
+    stock = stock_trigrams(held, n)
     result = None
     for b in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect() if blocks > 1 else held.collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Passages([r["n"] for r in rows], [r["p"] for r in rows], window))
+        rows = held.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b).collect() if blocks > 1 else held.collect()
+        shared = docs.sparkSession.sparkContext.broadcast(Passages([r["numbers"] for r in rows], [r["w"].split(" ") for r in rows], window, stock))
 
         def run(batches, shared=shared):
             index = shared.value

@@ -53,3 +53,15 @@ def test_alignment():
     assert L.smith_waterman(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 3, 4, 9])) == 4
     assert L.chain([(0, 0, 5), (5, 10, 5), (2, 40, 5)], 200, 5)[0] == 10
     assert L.chain([(0, 0, 5), (5, 300, 6)], 200, 5)[0] == 6
+
+
+def test_copies_and_near_copies(spark):
+    mine = random.Random(9)
+    near = [[*PASSAGES[1][:k], mine.choice(VOCAB), *PASSAGES[1][k + 1 :]] for k in range(2, 28, 3)]
+    p = [PASSAGES[0]] * 10 + near + PASSAGES[2:22]
+    held = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(p)], "passage_no long, text string")
+    docs = [(1, noise(20) + PASSAGES[0] + noise(20)), (2, noise(20) + near[4] + noise(20)), (3, noise(20) + PASSAGES[1][:22] + noise(20)), (4, PASSAGES[5])]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r["doc_id"], r["passage_no"]) for r in L.leaks(d, held, "doc_id", "text", "passage_no", "text").collect()}
+    assert {(1, i) for i in range(10)} <= got and {(2, 10 + i) for i in range(9)} <= got and {(3, 10 + i) for i in range(9)} <= got
+    assert got - {(i, j) for i in (1, 2, 3) for j in range(19)} == {(4, 22)}
