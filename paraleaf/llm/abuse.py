@@ -61,6 +61,8 @@ class Model:
         self.against: dict[str, float] = {}
         self.regular: set[str] = set()
         self.near: dict[str, str] = {}
+        self.known: set[str] = set()
+        self.seconds: set[str] = set()
         self.lam, self.log_k, self.cut, self.least = 1.0, 0.0, 3.0, 3.0
 
     def prepare(self) -> None:
@@ -70,10 +72,12 @@ class Model:
             if s > 1.5 and len(w) >= 4 and " " not in w:
                 for v in {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}:
                     self.near[v] = w
+        self.known = self.regular | self.score.keys()
+        self.seconds = {t.rpartition(" ")[2] for t, s in self.score.items() if s > 0 and " " in t}
         self._repair = lru_cache(200_000)(self._repaired)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_repair"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_repair", "known", "seconds")}
 
     def __setstate__(self, d):
         self.__dict__.update(d)
@@ -114,11 +118,16 @@ class Model:
         return [(a, b, s + sum(con[max(0, a - CONTEXT) : a]) + sum(con[b : b + CONTEXT])) for a, b, s in found]
 
     def telling(self, words: list[str]) -> bool:
-        """Whether the sentence can hold a positive segment at all."""
-        get, regular, near = self.score.get, self.regular, self.near
+        """Whether the sentence can hold a positive segment at all: some word scores above the step, alone or with the word before it."""
+        get, known, repair = self.score.get, self.known, self._repair
+        last = ""
         for w in words:
-            if get(w, 0.0) > 0.7 or (w not in regular and len(w) >= 4 and self.score.get(self._repair(w), 0.0) > 0.7):
+            if w not in known:
+                w = repair(w)
+            x = get(w, 0.0)
+            if x - STEP > 0 or (w in self.seconds and x - STEP + get(f"{last} {w}", 0.0) > 0):
                 return True
+            last = w
         return False
 
     def significance(self, best: float, n_words: int) -> float:

@@ -73,3 +73,15 @@ def test_edges(spark):
     docs, labels, _ = table(spark, 40)
     assert A.abuse_scores(docs, labels.limit(0), "doc_id", "text").where("abusive").count() == 0
     assert A.abuse_scores(docs.limit(0), labels, "doc_id", "text").count() == 0
+
+
+def test_plain_words_of_a_telling_pair():
+    m = A.Model()
+    m.score = {"rot": 0.5, "away": 0.5, "rot away": 4.0, "the": -0.5, "the end": 0.4, "pig": 0.9}
+    m.prepare()
+    best, _, _, n, passage = m.document("the day went by. the rot away the. nothing here")
+    assert (round(best, 6), n, passage) == (4.4, 10, "rot away") and best > m.least
+    rng = random.Random(8)
+    for _ in range(300):
+        w = [rng.choice(["rot", "away", "the", "end", "pig", "day"]) for _ in range(rng.randint(1, 6))]
+        assert m.telling(w) == bool(m.segments(m.tokens(w)))
