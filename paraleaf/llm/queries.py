@@ -73,6 +73,22 @@ def p5_line_forms(spark, sf):
     return canonical_columns(rows.select("eval_id", "reference", "prediction"), ["reference", "prediction"])
 
 
+def _page_lines(pages, key):
+    """(key, region_no, region_id, line_no, line_id, text) of every line; numbers count from 1 in the order given."""
+    lines = pages.select(key, F.posexplode("regions").alias("r", "region")).select(key, (F.col("r") + 1).alias("region_no"), F.col("region.region_id").alias("region_id"), F.posexplode("region.lines").alias("l", "line"))
+    return lines.select(key, "region_no", "region_id", (F.col("l") + 1).alias("line_no"), F.col("line.line_id").alias("line_id"), F.col("line.text").alias("text"))
+
+
+def p5_page_line_forms(spark, sf):
+    """The lines of all prediction pages (by pred_id) and gold pages (by page_id)."""
+    pages = once(table(spark, sf, "prediction_pages", ["pred_id", "regions", "received_at"]), "pred_id")
+    gold = table(spark, sf, "gold_pages", ["page_id", "regions"]).where("page_id is not null").dropDuplicates(["page_id"])
+    none = F.lit(None)
+    rows = _page_lines(pages, "pred_id").withColumn("page_id", none.cast(gold.schema["page_id"].dataType)).unionByName(_page_lines(gold, "page_id").withColumn("pred_id", none.cast(pages.schema["pred_id"].dataType)))
+    rows = rows.select(F.when(F.col("pred_id").isNull(), "gold").otherwise("prediction").alias("side"), "pred_id", "page_id", "region_no", "region_id", "line_no", "line_id", "text")
+    return canonical_columns(rows, ["text"])
+
+
 def p7_leaks(spark, sf):
     return leaks(table(spark, sf, "documents", ["doc_id", "text"]), table(spark, sf, "eval_passages", ["passage_no", "text"]), "doc_id", "text", "passage_no", "text")
 
@@ -121,6 +137,7 @@ QUERIES = {
     "p3_new_splits": p3_new_splits,
     "p5_found": p5_found,
     "p5_line_forms": p5_line_forms,
+    "p5_page_line_forms": p5_page_line_forms,
     "p6_windows": p6_windows,
     "p6_filled_share": p6_filled_share,
     "p7_found": p7_found,

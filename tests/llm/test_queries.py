@@ -11,3 +11,17 @@ def test_query(spark, sf, name):
         con = duckdb.connect()
         con.execute(f"create view line_evals as select * from '{sf}/line_evals.parquet'")
         assert sorted(got.iloc[:, 0]) == sorted(con.execute(ORACLE[name]).df().iloc[:, 0])
+
+
+def test_page_lines_all_come_out(spark, sf):
+    from paraleaf.llm.canonical import canonical_sql
+
+    got = QUERIES["p5_page_line_forms"](spark, sf).toPandas()
+    con = duckdb.connect()
+    pages = {"prediction": f"(SELECT * FROM '{sf}/prediction_pages.parquet' WHERE pred_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pred_id ORDER BY received_at NULLS LAST) = 1)", "gold": f"'{sf}/gold_pages.parquet'"}
+    for side, src in pages.items():
+        key = "pred_id" if side == "prediction" else "page_id"
+        want = con.execute(f"SELECT k, l.line_id, l.text, {canonical_sql('l.text')} FROM (SELECT k, unnest(r.lines) AS l FROM (SELECT {key} AS k, unnest(regions) AS r FROM {src}))").fetchall()
+        mine = got[got.side == side]
+        have = [tuple(None if x != x else x for x in r) for r in zip(mine[key], mine.line_id, mine.text, mine.text_one_form)]
+        assert len(want) > 0 and sorted(map(repr, want)) == sorted(repr((type(want[0][0])(k), *rest)) for k, *rest in have)
