@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.align import indel_ratio
 from ..functions.text import nfkc_folded, word_list
 from ..plans.shared import workers
 
+#: Signs that stand between two words without blanks.
+JOINERS = tuple("־-–—/")
+
 SPLIT_SALT = "paraleaf-split-v1"
 
 
@@ -101,10 +108,29 @@ def greedy_quota(df: DataFrame, order: str, family: str, per_family: int, target
     return run.where(~done).drop("_b", *[f"_o_{c}" for c in targets], *[f"_r_{c}" for c in targets])
 
 
-def smart_join(tokens: Column) -> Column:
+def join_tokens(tokens) -> str:
     """Tokens as text: no blank before closing and after opening signs nor around joiners."""
-    step = lambda acc, t: F.when((acc == "") | t.rlike(r"^[.,;:!?%)\]}״׳־]") | acc.rlike(r"[(\[{־/]$"), F.concat(acc, t)).otherwise(F.concat(acc, F.lit(" "), t))
-    return F.aggregate(tokens, F.lit("").cast("string"), step)
+    out: list[str] = []
+    last = ""
+    for t in tokens:
+        if not (t := (t or "").strip()):
+            continue
+        if last and not (t[0] in ".,;:!?%)]}׳״" or t in JOINERS or last in "([{״" or last in JOINERS):
+            out.append(" ")
+        out.append(t)
+        last = t[-1]
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+@F.pandas_udf(T.StringType())
+def smart_join(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: None if t is None else join_tokens(t))
+
+
+@F.pandas_udf(T.StringType())
+def smart_lines(text: pd.Series) -> pd.Series:
+    """``join_tokens`` over all tokens of every line."""
+    return text.map(lambda t: None if t is None else "\n".join(join_tokens(line.split()) for line in t.replace("\r\n", "\n").replace("\r", "\n").split("\n")))
 
 
 def repair_pdf_text(c: Column) -> Column:

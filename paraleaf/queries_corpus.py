@@ -207,8 +207,10 @@ def q_union_sorted(spark, sf):
 
 
 def q_repaired_text(spark, sf):
+    """Whole texts repaired, and the tokens of every line joined again."""
     df = table(spark, sf, "documents", ["doc_id", "text"]).where("text is not null")
-    return df.select("doc_id", F.sha2(C.repair_pdf_text(F.col("text")), 256).alias("repaired_sha"), C.smart_join(F.slice(X.word_list("text"), 1, 12)).alias("opening"))
+    repaired = df.select("doc_id", C.repair_pdf_text(F.col("text")).alias("text"))
+    return repaired.select("doc_id", F.sha2("text", 256).alias("repaired_sha"), C.smart_lines("text").alias("joined"))
 
 
 def q_evidence_flags(spark, sf):

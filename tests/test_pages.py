@@ -81,3 +81,12 @@ def test_quota_and_repair(spark):
     assert t.select(C.repair_pdf_text(F.col("t"))).first()[0] == "ða נב"
     j = spark.createDataFrame([(["a", "(", "b", ")", ",", "c"],)], "w array<string>")
     assert j.select(C.smart_join(F.col("w"))).first()[0] == "a (b), c"
+
+
+def test_repaired_text_joins_whole_texts(spark, tmp_path):
+    from paraleaf.queries_corpus import q_repaired_text
+
+    text = " ".join(f"w{i} ( x ) ," for i in range(40)) + "\r\nlast ðב - line ."
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["joined"] for r in q_repaired_text(spark, str(tmp_path)).collect()}
+    assert got == {1: " ".join(f"w{i} (x)," for i in range(40)) + "\nlast נב-line.", 3: ""}
