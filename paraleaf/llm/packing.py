@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 TOKENIZERS = "/opt/tokenizers"
 GROUP = 8000
+MAX_WINDOWS = 1000
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
@@ -51,8 +52,11 @@ def token_counts(docs: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, attention: float, rule: str = "norm") -> np.ndarray:
-    """The bin of each item (tokens per item, all at most ``capacity``); items in any order."""
-    cap = np.array([capacity, max_docs, max(attention, float(capacity) ** 2)])
+    """The bin of each item (tokens per item, all at most ``capacity``); items in any order.
+
+    ``attention`` is the capacity in squared tokens, 0 for none of its own; an item above it is a bin by itself.
+    """
+    cap = np.array([capacity, max_docs, attention if attention > 0 else float(capacity) ** 2])
     order = np.argsort(-sizes, kind="stable")
     bins = np.empty(len(sizes), np.int64)
     wt = np.array(WEIGHTS)
@@ -60,6 +64,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, attention: float,
     number = np.zeros(1024, np.int64)
     n_open = made = 0
     smallest = float(sizes.min()) / capacity if len(sizes) else 0.0
+    cheapest = float(sizes.min()) ** 2 / cap[2] if len(sizes) else 0.0
     for i in order:
         s = float(sizes[i])
         d = np.array([s / cap[0], 1 / cap[1], s * s / cap[2]])
@@ -77,7 +82,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, attention: float,
             made += 1
         bins[i] = number[k]
         left[:, k] -= d
-        if left[0, k] < smallest - 1e-12 or left[1, k] < 1 / cap[1] - 1e-12:  # full: no longer looked at
+        if left[0, k] < smallest - 1e-12 or left[1, k] < 1 / cap[1] - 1e-12 or left[2, k] < cheapest - 1e-12:  # full: no longer looked at
             n_open -= 1
             left[:, k], number[k] = left[:, n_open], number[n_open]
     return bins
@@ -87,11 +92,14 @@ def fill_windows(counts: DataFrame, windows: DataFrame, max_docs_share: int = 8,
     """(window_id, doc_id, piece_no, first_token, n_tokens, window_no) for every window size and text.
 
     ``counts`` is (doc_id, n_tokens), ``windows`` (window_id, capacity_tokens), a small fixed table. A bin holds at most capacity /
-    ``max_docs_share`` texts and ``attention`` times capacity squared of attention cost, but always one text that fits. Texts without tokens take no room:
+    ``max_docs_share`` texts and ``attention`` times capacity squared of attention cost (0: no such limit), but always one text that fits.
+    More than ``MAX_WINDOWS`` window sizes are an error. Texts without tokens take no room:
     one row with a null window number. Windows with a null or non-positive capacity give nothing. Equal sizes are
     placed in key order.
     """
-    sizes = [(r[0], int(r[1])) for r in windows.select("window_id", "capacity_tokens").where("window_id is not null and capacity_tokens > 0").dropDuplicates(["window_id"]).orderBy("window_id").limit(1000).collect()]
+    sizes = [(r[0], int(r[1])) for r in windows.select("window_id", "capacity_tokens").where("window_id is not null and capacity_tokens > 0").dropDuplicates(["window_id"]).orderBy("window_id").limit(MAX_WINDOWS + 1).collect()]
+    if len(sizes) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} window sizes")
     n = counts.count()
     groups = max(1, -(-n // GROUP))
     schema = "window_id long, doc_id long, piece_no int, first_token int, n_tokens int, window_no long"

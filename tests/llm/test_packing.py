@@ -48,3 +48,23 @@ def test_token_counts(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in P.token_counts(df, "doc_id", "text").collect()}
     enc = P._encoder(P.TOKENIZERS, P.TOKENIZER)
     assert got == {1: len(enc.encode_ordinary("hello world")), 2: 0, 3: 0, 4: len(enc.encode_ordinary("שלום " * 5000))}
+
+
+def test_attention_binds():
+    rng = random.Random(2)
+    for rule in ("norm", "dot"):
+        s = np.array([rng.randint(1, 100) for _ in range(400)])
+        b = P.best_fit(s, 100, 50, 0.3 * 100 * 100, rule)
+        cost, docs = np.bincount(b, weights=s * s), np.bincount(b)
+        assert ((cost <= 3000) | (docs == 1)).all() and (docs > 1).any() and np.bincount(b, weights=s).max() <= 100
+    assert len(set(P.best_fit(np.array([50, 50]), 100, 8, 4000.0).tolist())) == 2
+    assert len(set(P.best_fit(np.array([50, 50]), 100, 8, 10000.0).tolist())) == 1
+
+
+def test_too_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_WINDOWS", 2, raising=False)
+    counts = spark.createDataFrame([(1, 10)], "doc_id long, n_tokens int")
+    windows = spark.createDataFrame([(i, "a", 10 + i) for i in range(3)], WINDOWS)
+    with pytest.raises(ValueError):
+        P.fill_windows(counts, windows)
+    assert P.fill_windows(counts, windows.limit(2)).count() == 2
