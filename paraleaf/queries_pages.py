@@ -246,7 +246,7 @@ def geometric(weights: dict[str, float], quality) -> object:
 
 
 def q_line_scores(spark, sf):
-    """Line component per model: error quality .55, word quality .20, exact .25; rounded to 8 places and ranked."""
+    """Line score per model from the bag-of-words error: 1 - e .55, 1 - e / 2 .20, exact .25; rounded to 8 places and ranked. Not the survey's line component (README, not built)."""
     df = line_evals(spark, sf, ("model_name", "reference", "prediction", "bag_of_words_error"))
     s = df.groupBy("model_name").agg(F.avg("bag_of_words_error").alias("e"), F.count_if(F.col("reference") == F.col("prediction")).alias("x"), F.count("*").alias("n"))
     quality = {"error": 1 - F.col("e"), "word": 1 - F.col("e") / 2, "exact": F.col("x") / F.col("n")}
@@ -256,7 +256,7 @@ def q_line_scores(spark, sf):
 
 
 def q_headline(spark, sf):
-    """Admission cascade over the tracks, then the weighted geometric mean of the components present."""
+    """Status over the tracks and the unweighted geometric mean of their shares of test pages; no component scores (README, not built)."""
     g = gold(spark, sf, "track", "split").groupBy("track").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim("split")) == "test").alias("t"))
     share = g.select("track", F.round(F.col("t") / F.col("n"), 8).alias("q"), "n")
     all_tracks = share.agg(F.count("*").alias("n_tracks"), F.min("q").alias("least"), F.round(F.exp(F.sum(F.ln(F.when(F.col("q") > 0, F.col("q")))) / F.count("*")), 6).alias("mean"))

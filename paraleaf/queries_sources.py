@@ -103,7 +103,7 @@ def q_visual_lines(spark, sf):
 
 
 def q_admission(spark, sf):
-    """Reports made of each model's line results: one system per model, a component for each track of the headline."""
+    """The admission steps on reports made of each model's line results: one system per model, the same number for each track (README, not built)."""
     from .queries_text import line_evals
 
     df = line_evals(spark, sf, ("model_name", "reference", "prediction", "bag_of_words_error"))
