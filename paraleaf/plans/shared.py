@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,16 +49,41 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys delivered twice that are sent to every executor at most, and the bytes of text in them.
+MOST_KEYS, MOST_KEY_BYTES = 500_000, 32 << 20
+
+
+def _ranked(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """Of each key the row with the least order (of equal ones the one with the least hash); whole rows are shuffled."""
+    cols = [c for c in df.columns if c != key]
+    plain = [f.name for f in df.schema.fields if f.name != key and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rank = F.struct(order.alias("o"), F.xxhash64(*plain) if plain else F.lit(0))
+    return df.groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in cols])
+
+
 def once(df: DataFrame, key: str, late: str = "received_at") -> DataFrame:
-    """Rows delivered twice count once: of each ``key`` the row with the least ``late``.
+    """Rows delivered twice count once: of each ``key`` the row with the least ``late`` (null comes last).
 
-    The repeats are few, so only their keys are ranked: whole rows go through one hash
-    aggregate (``min_by``) that combines before the shuffle. Rows with a null key are left out.
+    Only (key, late) is aggregated. The keys seen twice, few where rows are repeated now and then, are checked for their number and
+    sent to the rows, which stay where they were read. Keys with more than two rows or with equal times are
+    ranked, and so are all rows where the repeated keys are too many to send. Rows with a null key are left out.
     """
     cols = [c for c in df.columns if c != key]
-    packed = F.struct(*cols)
     order = F.coalesce(F.col(late).cast("timestamp"), F.lit("9999-01-01").cast("timestamp")) if late in cols else F.lit(0)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(packed, order).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in cols])
+    df = df.where(F.col(key).isNotNull())
+    if not cols:
+        return df.distinct()
+    twice = written(df.groupBy(key).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")).where("_n > 1"), "twice")
+    seen = twice.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0)).alias("b"), F.count_if(F.expr("_n > 2 or _lo = _hi")).alias("open")).first()
+    if not seen["n"]:
+        return df
+    if seen["n"] > MOST_KEYS or seen["b"] > MOST_KEY_BYTES:
+        return _ranked(df, key, order)
+    sure = df.join(F.broadcast(twice), key, "left").where(F.col("_n").isNull() | ((F.col("_n") == 2) & (F.col("_lo") < F.col("_hi")) & (order == F.col("_lo")))).select(*df.columns)
+    if not seen["open"]:
+        return sure
+    rest = df.join(F.broadcast(twice.where("_n > 2 or _lo = _hi").select(key)), key, "left_semi")
+    return sure.unionByName(_ranked(rest, key, order).select(*df.columns))
 
 
 def workers(spark: SparkSession) -> int:

@@ -18,8 +18,9 @@ def gold(spark, sf, *columns) -> DataFrame:
 
 def pred(spark, sf, *columns) -> DataFrame:
     """One prediction per page: the earliest delivered."""
-    df = once(table(spark, sf, "prediction_pages", ["pred_id", "page_id", *columns, "received_at"]), "pred_id")
-    return once(df, "page_id").drop("pred_id") if "pred_id" not in columns else once(df, "page_id")
+    df = table(spark, sf, "prediction_pages", list(dict.fromkeys(["pred_id", "page_id", *columns, "received_at"]))).where("pred_id is not null")
+    df = once(df, "page_id")
+    return df if "pred_id" in columns else df.drop("pred_id")
 
 
 def q_coverage(spark, sf):
