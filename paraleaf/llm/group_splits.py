@@ -3,14 +3,15 @@
 Records are related if they share a value in any of the given columns, directly or through further
 records. Components come from alternating large-star and small-star rounds over edges that are first
 shortened to "record to smallest record of the value", in salted pieces so that a value held by a third of
-all rows is no single unit of work. Each component carries the vector of its label counts. The component
-with the rarest outstanding label goes first into the split that needs that label most:
-
-* components with at least 1/1000 of all records (so at most 1000 of them) are placed one after the
-  other on the driver;
-* of the rest, each is placed with the class of its rarest label: the class is laid out in hash order and cut in
-  proportion to what each split still needs of that label, which is where one-by-one placing ends for small components.
-  The running sums are taken in bounded buckets.
+all rows is no single unit of work. Each component carries the vector of its label counts.
+
+The label with the fewest outstanding records comes next, and all components that hold it and are not placed yet are placed, those with
+most records of the label first: the components with equal counts form a class, which is shared out in
+proportion to what each split still needs of the label (a class of one goes to the split that needs it most), and the need is taken anew
+after each class and, for all labels, after each label. Inside a class components of equal label vectors stand
+together and the splits alternate along the class, so the other labels are shared out evenly as well. One rule holds for components of
+any size. The driver sees label totals and, of one label at a time, how many components hold it how often (at most the square
+root of twice its records); components never leave the executors.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from ..plans.shared import written
 # Words that say an id is not known.
 NOT_KNOWN = ("anonymous", "unknown", "not-known", "n-a", "na", "none", "null", "nil", "unk", "undefined", "anon", "tbd", "לא-ידוע", "אלמוני", "אנונימי", "אין", "חסר")
 SALTS = 64
-LARGE = 1000
 BUCKET_ROWS = 20_000
 MAX_LABELS = 10_000
 
@@ -91,69 +91,86 @@ def torn_groups(records: DataFrame, key: str, columns: list[str], split: str) ->
     return found.join(torn.select("group_no"), "group_no", "left_semi").select(key, "group_no")
 
 
-def _place_large(rows: list, need: dict[tuple[str, str], float], room: dict[str, float], splits: list[str]) -> dict[int, str]:
-    """One by one: the component with the rarest outstanding label first, into the split that needs it most."""
-    placed: dict[int, str] = {}
-    left = {r["group_no"]: r for r in rows}
-    while left:
-        outstanding: dict[str, float] = {}
-        for r in left.values():
-            for name in r["labels"]:
-                outstanding[name] = outstanding.get(name, 0) + r["labels"][name]
-        rarest = min(outstanding, key=lambda x: (outstanding[x], x)) if outstanding else None
-        here = [r for r in left.values() if rarest is None or rarest in r["labels"]]
-        for r in sorted(here, key=lambda r: (-r["size"], r["group_no"])):
-            to = max(splits, key=lambda s: (need.get((rarest, s), 0) if rarest else 0, room[s], -splits.index(s)))
-            placed[r["group_no"]] = to
-            room[to] -= r["size"]
-            for name, k in r["labels"].items():
-                need[name, to] = need.get((name, to), 0) - k
-            del left[r["group_no"]]
-    return placed
+def _share_out(classes: list[tuple[int, int]], need: dict[str, float], room: dict[str, float], splits: list[str]) -> list[tuple]:
+    """(k, components, components for each split) of the classes (k, components), largest k first; ``need`` and ``room`` are brought up to date."""
+    out = []
+    for k, n in sorted(classes, reverse=True):
+        want = [max(0.0, need[s]) for s in splits]
+        if not sum(want):
+            want = [max(0.0, room[s]) for s in splits]
+        total = sum(want)
+        exact = [n * x / total for x in want] if total else [n / len(splits)] * len(splits)
+        got = [int(x) for x in exact]
+        # What is left over goes to the largest rest, of equal rests to the split with more need, then more room, then the earlier one.
+        order = sorted(range(len(splits)), key=lambda i: (got[i] - exact[i], -want[i], -room[splits[i]], i))
+        for i in order[: n - sum(got)]:
+            got[i] += 1
+        for s, c in zip(splits, got, strict=True):
+            need[s] -= c * k
+            room[s] -= c * k
+        out.append((k, n, got))
+    return out
+
+
+def _placed(chosen: DataFrame, shares: list[tuple], splits: list[str]) -> DataFrame:
+    """(group_no, labels, new_split) of the components ``chosen`` (with k, sig, h): splits alternate along each class, in exact numbers."""
+    spark = chosen.sparkSession
+    counts = spark.createDataFrame([(k, n, got) for k, n, got in shares], "k long, n long, want array<long>")
+    spot = chosen.join(F.broadcast(counts), "k").withColumn("bucket", F.floor((F.col("h") / 2.0**64 + 0.5) * F.ceil(F.col("n") / BUCKET_ROWS)))
+    per = spot.groupBy("k", "bucket").agg(F.count("*").alias("rows"))
+    per = per.select("k", "bucket", (F.sum("rows").over(W.partitionBy("k").orderBy("bucket")) - F.col("rows")).alias("before"))
+    at = F.row_number().over(W.partitionBy("k", "bucket").orderBy("sig", "h", "group_no")) - 1
+    spot = spot.withColumn("at", at).join(per, ["k", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
+    # Place r of n is one of c evenly spread ones if r * c / n passes a whole number; what is not taken closes up for the next split.
+    to = F.lit(None).cast("string")
+    left, place = F.col("n"), F.col("at")
+    for i in reversed(range(1, len(splits))):
+        c = F.col("want")[i]
+        passed = lambda r, c=c, left=left: F.when(left > 0, F.floor(r * (c / left) + 0.5)).otherwise(0)
+        before = passed(place)
+        to = F.when(to.isNull() & (passed(place + 1) > before), splits[i]).otherwise(to)
+        left, place = left - c, place - before
+    return spot.select("group_no", "labels", F.coalesce(to, F.lit(splits[0])).alias("new_split"))
 
 
 def stratified_splits(records: DataFrame, key: str, columns: list[str], labels: list[str], ratios: dict[str, float]) -> DataFrame:
     """(key, group_no, new_split): related records together, each label near the given shares.
 
-    Label columns are strings; a null label is the label "none". An empty table gives no rows. Ties are
-    broken by size, then key, then the order of ``ratios``.
+    Label columns are strings; a null label is the label "none". An empty table gives no rows. Ties are broken by the hash of the
+    component, then the order of ``ratios``. There is one pass over the components not placed yet per label; more than ``MAX_LABELS`` different
+    labels are an error.
     """
-    spark = records.sparkSession
     splits = list(ratios)
     comp = written(components(records, key, columns), "components")
     tags = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in labels])
     tagged = comp.join(records.select(key, tags.alias("tags")), key)
     counts = tagged.select("group_no", F.explode("tags").alias("label")).groupBy("group_no", "label").agg(F.count("*").alias("k"))
-    totals = {r["label"]: r["k"] for r in counts.groupBy("label").agg(F.sum("k").alias("k")).limit(MAX_LABELS + 1).collect()}
+    vectors = counts.groupBy("group_no").agg(F.sort_array(F.collect_list(F.struct("label", "k"))).alias("v"))
+    vectors = written(vectors.select("group_no", F.map_from_entries("v").alias("labels"), F.xxhash64("v").alias("sig"), F.xxhash64("group_no").alias("h")), "vectors")
+
+    def sums(df: DataFrame, *by: str) -> list:
+        return df.select(*by, F.explode("labels").alias("label", "k")).groupBy(*by, "label").agg(F.sum("k").alias("k")).limit(MAX_LABELS * len(splits) + 1).collect()
+
+    totals = {r["label"]: r["k"] for r in sums(vectors)}
     if len(totals) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels: give coarser label columns")
-    n = sum(totals.values()) // max(1, len(labels))
-    if not n:
+    need = {name: {s: k * ratios[s] for s in splits} for name, k in totals.items()}
+    items = sum(totals.values()) / max(1, len(labels))
+    room = {s: items * ratios[s] for s in splits}
+    left, result = vectors, None
+    while totals:
+        name = min(totals, key=lambda x: (totals[x], x))
+        here = left.where(F.col("labels")[name].isNotNull()).withColumn("k", F.col("labels")[name])
+        classes = [(r["k"], r["count"]) for r in here.groupBy("k").count().collect()]
+        placed = written(_placed(here, _share_out(classes, dict(need[name]), dict(room), splits), splits), "placed")
+        for r in sums(placed, "new_split"):
+            need[r["label"]][r["new_split"]] -= r["k"]
+            room[r["new_split"]] -= r["k"] / len(labels)
+            totals[r["label"]] -= r["k"]
+        totals = {x: k for x, k in totals.items() if k > 0}
+        left = left.where(F.col("labels")[name].isNull())
+        one = placed.select("group_no", "new_split")
+        result = one if result is None else result.unionByName(one)
+    if result is None:
         return comp.select(key, "group_no", F.lit(None).cast("string").alias("new_split")).limit(0)
-    order = sorted(totals, key=lambda x: (totals[x], x))
-    rank = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i)])
-    vectors = written(counts.groupBy("group_no").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("labels"), (F.sum("k") / len(labels)).cast("long").alias("size"), F.min(rank[F.col("label")]).alias("rarest")), "vectors")
-    need = {(name, s): totals[name] * ratios[s] for name in totals for s in splits}
-    room = {s: n * ratios[s] for s in splits}
-    large = vectors.where(F.col("size") * LARGE >= n).collect()  # at most LARGE rows
-    placed = _place_large(large, need, room, splits)
-    small = vectors.where(F.col("size") * LARGE < n).select("group_no", "size", "rarest")
-    buckets = max(1, n // BUCKET_ROWS)
-    small = small.withColumn("h", F.xxhash64("group_no")).withColumn("bucket", F.floor((F.col("h") / 2.0**64 + 0.5) * buckets))
-    per = small.groupBy("rarest", "bucket").agg(F.sum("size").alias("mass"))
-    per = per.withColumn("before", F.sum("mass").over(W.partitionBy("rarest").orderBy("bucket")) - F.col("mass")).withColumn("all_mass", F.sum("mass").over(W.partitionBy("rarest")))
-    run = F.sum("size").over(W.partitionBy("rarest", "bucket").orderBy("h", "group_no")) - F.col("size") / 2
-    spot = small.withColumn("run", run).join(per.select("rarest", "bucket", "before", "all_mass"), ["rarest", "bucket"])
-    shares = []
-    for i, name in enumerate(order):
-        want = [max(0.0, need[name, s]) for s in splits]
-        total = sum(want) or 1.0
-        acc = 0.0
-        for s, x in zip(splits, want, strict=True):
-            shares.append((i, s, acc / total, (acc + x) / total))
-            acc += x
-    cuts = spark.createDataFrame(shares, "rarest int, new_split string, lo double, hi double")  # labels times splits, bounded above
-    at = (F.col("before") + F.col("run")) / F.col("all_mass")
-    some = spot.join(F.broadcast(cuts), "rarest").where((at >= F.col("lo")) & (at < F.col("hi"))).select("group_no", "new_split")
-    big = spark.createDataFrame(list(placed.items()), "group_no long, new_split string")
-    return comp.join(some.unionByName(big), "group_no").select(key, "group_no", "new_split")
+    return comp.join(result, "group_no").select(key, "group_no", "new_split")

@@ -71,6 +71,35 @@ def test_shares(spark):
     assert G.stratified_splits(df.limit(0), "item_no", ["writer", "doc"], ["kind"], {"train": 0.8, "dev": 0.2}).count() == 0
 
 
+def test_every_label_is_shared_out(spark):
+    """Single records and pairs, a rare label, and one group of a third of all rows: one rule, each label near the ratios."""
+    rng = random.Random(9)
+    rows, n = [], 0
+    for g in range(2400):
+        kind = "rare" if g < 60 else rng.choice(["a", "b", "c"])
+        for _ in range(1 + (g % 7 == 0)):
+            rows.append((n, f"g{g}", None, None, kind))
+            n += 1
+    ratios = {"train": 0.8, "dev": 0.1, "test": 0.1}
+
+    def shares(rows):
+        out = {r["item_no"]: r["new_split"] for r in G.stratified_splits(spark.createDataFrame(rows, SCHEMA), "item_no", ["writer"], ["kind"], ratios).collect()}
+        assert out.keys() == {r[0] for r in rows}
+        return {k: {s: sum(out[r[0]] == s for r in rows if r[4] == k) / sum(r[4] == k for r in rows) for s in ratios} for k in {r[4] for r in rows}}
+
+    assert all(abs(x[s] - ratios[s]) < 0.02 for x in shares(rows).values() for s in ratios)
+    hot = rows + [(n + i, "hot", None, None, "a") for i in range(n // 2)]
+    got = shares(hot)
+    assert all(abs(got[k][s] - ratios[s]) < 0.02 for k in ("b", "c", "rare") for s in ratios)
+    assert abs(got["a"]["train"] - 0.8) < 0.02
+
+
+def test_share_out():
+    need, room = {"train": 80.0, "dev": 10.0, "test": 10.0}, {"train": 80.0, "dev": 10.0, "test": 10.0}
+    out = G._share_out([(1, 90), (10, 1)], need, room, ["train", "dev", "test"])
+    assert out == [(10, 1, [1, 0, 0]), (1, 90, [70, 10, 10])] and not any(need.values())
+
+
 def test_plain_split(spark):
     df = spark.createDataFrame([(" Train",), ("TRAINING",), ("valid ",), ("Validation",), ("diagnostic",), (" ",), (None,)], "s string")
     assert [r[0] for r in df.select(G.plain_split(F.col("s"))).collect()] == ["train", "train", "dev", "dev", "diagnostic", None, None]
