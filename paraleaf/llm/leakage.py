@@ -1,8 +1,9 @@
 """Problem 7: held-out passages inside training texts.
 
-Rare n-gram seeds join texts to passages: word trigrams of the passages, without those that so many different passages
-of the whole set share that they are stock formulas; a passage of which that would leave less than two thirds of its words
-covered (one of many near copies) keeps all. Passages of the same words are searched once. Where a text and a passage meet in enough seeds within the window,
+Rare n-gram seeds join texts to passages: three words of a passage, in a row or with one word between (``SHAPES``), without those that so
+many different passages of the whole set share that they are stock formulas; a passage of which that would leave less than two thirds of its
+words covered (one of many near copies) keeps all. Every five words in a row of which no two neighbours are misspelt and three are right hold such a
+seed. Passages of the same words are searched once. Where a text and a passage meet in enough seeds within the window,
 Smith-Waterman alignment over words scores the stretch of text (a word misspelt by a few letters still
 matches), and an exact chain of the aligned stretches decides.
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from ..plans.shared import written
 from .words import alike, plain_words
 
-BLOCK = 5000
+BLOCK = 20_000
 STOCK_SHARE = 0.05
+#: Where the three words of a seed stand.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
 SUB_BATCH = 256
 GAP = 0.01
 
@@ -30,46 +33,59 @@ class Passages:
     """The seed index of one block of passages."""
 
     def __init__(self, numbers: list[list[int]], texts: list[list[str]], window: int, stock: set[str]):
-        """``numbers`` has all passages of each word sequence of ``texts``; ``stock`` the trigrams to do without."""
+        """``numbers`` has all passages of each word sequence of ``texts``; ``stock`` the seeds to do without."""
         self.window = window
         self.vocabulary: dict[str, int] = {}
         self.numbers, self.words = numbers, texts
         self.ids = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64) for w in texts]
         base = self.base = len(self.vocabulary) + 1
-        keys, owner, place = [], [], []
+        if base**3 * len(SHAPES) >= 1 << 63:
+            raise ValueError("too many different words in one block of passages")
+        offsets = self.offsets = np.array(SHAPES, np.int64)
+        keys, owner, place, shape, cover = [], [], [], [], []
         for p, (ids, w) in enumerate(zip(self.ids, texts, strict=True)):
-            k = (ids[:-2] * base + ids[1:-1]) * base + ids[2:]
-            at = np.array([i for i in range(len(k)) if " ".join(w[i : i + 3]) not in stock], np.int64) if stock else np.arange(len(k))
-            if len(np.unique(np.concatenate([at, at + 1, at + 2]))) * 3 < 2 * len(w):
-                at = np.arange(len(k))
-            keys.append(k[at])
-            owner.append(np.full(len(at), p))
-            place.append(at)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        own = np.concatenate(owner) if owner else key
-        pos = np.concatenate(place) if place else key
+            found = [(k, i) for k, at in enumerate(SHAPES) for i in range(len(w) - at[2]) if not stock or seed_name(k, [w[i + x] for x in at]) not in stock]
+            if len({i + x for k, i in found for x in SHAPES[k]}) * 3 < 2 * len(w):
+                found = [(k, i) for k, at in enumerate(SHAPES) for i in range(len(w) - at[2])]
+            k, i = np.array(found, np.int64).reshape(-1, 2).T
+            at = i[:, None] + offsets[k]
+            keys.append(((ids[at[:, 0]] * base + ids[at[:, 1]]) * base + ids[at[:, 2]]) * len(SHAPES) + k)
+            owner.append(np.full(len(k), p))
+            place.append(i)
+            shape.append(k)
+            cover.append(len(np.unique(at)))
+        none = [np.zeros(0, np.int64)]
+        key, own, pos, kind = (np.concatenate(x or none) for x in (keys, owner, place, shape))
         order = np.argsort(key, kind="stable")
-        self.key, self.own, self.pos = key[order], own[order], pos[order]
-        self.half = np.array([(len(w) + 1) // 2 for w in self.words], np.int64)
-        #: Words of the passage that seeds must cover within the window: a quarter of those that rare seeds cover at all.
-        cover = np.unique(np.concatenate([self.own * (1 << 32) + self.pos + k for k in range(3)])) if len(self.own) else np.zeros(0, np.int64)
-        self.least = np.maximum(3, (np.bincount(cover >> 32, minlength=len(self.ids)) + 3) // 4)
+        self.key, self.own, self.pos, self.shape = key[order], own[order], pos[order], kind[order]
+        n, cover = np.array([len(w) for w in self.words], np.int64), np.array(cover, np.int64)
+        self.half = (n + 1) // 2
+        #: Words of the passage that seeds must cover within the window: half of what must stand there less what rare seeds do not cover at all.
+        self.least = np.maximum(3, (self.half - (n - cover) + 1) // 2)
 
     def seeds(self, ids: np.ndarray, ends: np.ndarray):
-        """(position, passage, place in it) of every seed in a run of texts; ``ends`` marks where texts end."""
+        """(position, passage, place in it, shape) of every seed in a run of texts; ``ends`` marks where texts end."""
         if len(ids) < 3 or not len(self.key):
-            return (np.zeros(0, np.int64),) * 3
-        known = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
-        cross = ends[ends < len(ids)]
-        known[cross[cross - 2 >= 0] - 2] = False
-        known[cross[(cross - 1 >= 0) & (cross - 1 < len(known))] - 1] = False
-        at = np.flatnonzero(known)
-        k = (ids[at] * self.base + ids[at + 1]) * self.base + ids[at + 2]
-        lo, hi = np.searchsorted(self.key, k, "left"), np.searchsorted(self.key, k, "right")
-        n = hi - lo
+            return (np.zeros(0, np.int64),) * 4
+        room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(ids))
+        first = np.flatnonzero(ids >= 0)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, (_, x, y) in enumerate(SHAPES):
+            at = first[room[first] > y]
+            at = at[(ids[at + x] >= 0) & (ids[at + y] >= 0)]
+            found.append((at, ((ids[at] * self.base + ids[at + x]) * self.base + ids[at + y]) * len(SHAPES) + k))
+        at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        lo = np.searchsorted(self.key, key, "left")
+        hit = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == key)
+        at, lo = at[hit], lo[hit]
+        n = np.searchsorted(self.key, key[hit], "right") - lo
         rep = np.repeat(np.arange(len(at)), n)
         inside = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return at[rep], self.own[inside], self.pos[inside]
+        return at[rep], self.own[inside], self.pos[inside], self.shape[inside]
+
+
+def seed_name(shape: int, words: list[str]) -> str:
+    return f"{shape} {' '.join(words)}"
 
 
 def smith_waterman(p: np.ndarray, t: np.ndarray) -> float:
@@ -140,20 +156,23 @@ def _leaks_in(index: Passages, docs: list, word_lists: list[list[str]], shortest
     lens = np.array([len(w) for w in word_lists])
     ends = np.cumsum(lens)
     ids = np.fromiter((get(x, -1) for w in word_lists for x in w), np.int64, int(ends[-1]) if len(ends) else 0)
-    at, own, place = index.seeds(ids, ends)
+    at, own, place, shape = index.seeds(ids, ends)
     if not len(at):
         return
     doc = np.searchsorted(ends, at, "right")
     order = np.lexsort((at, own, doc))
-    at, own, place, doc = at[order], own[order], place[order], doc[order]
+    at, own, place, shape, doc = at[order], own[order], place[order], shape[order], doc[order]
     start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])])
     stop = np.r_[start[1:], len(at)]
-    # Words of the passage covered by seeds, before anything costly is done.
+    # Words of the passage covered by seeds, before anything costly is done; a seed covers three.
+    able = np.flatnonzero((stop - start) * 3 >= index.least[own[start]])
+    start, stop = start[able], stop[able]
     group = np.repeat(np.arange(len(start)), stop - start)
-    cover = np.unique(np.concatenate([group * (1 << 32) + place + k for k in range(3)]))
+    take = np.arange(len(group)) - np.repeat(np.cumsum(stop - start) - (stop - start), stop - start) + np.repeat(start, stop - start)
+    cover = np.unique((group * (1 << 32) + place[take])[:, None] + index.offsets[shape[take]])
     enough = np.flatnonzero(np.bincount(cover >> 32, minlength=len(start)) >= index.least[own[start]])
     for s, e in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
-        spots, places = at[s:e], place[s:e]
+        spots, words_at = at[s:e], place[s:e, None] + index.offsets[shape[s:e]]
         p, d = int(own[s]), int(doc[s])
         first, need = int(ends[d] - lens[d]), int(index.least[p])
         pw, half = index.words[p], int(index.half[p])
@@ -161,8 +180,9 @@ def _leaks_in(index: Passages, docs: list, word_lists: list[list[str]], shortest
         regions: list[list[int]] = []
         till = np.searchsorted(spots, spots + index.window, "right")
         for k in np.flatnonzero((till - np.arange(len(spots))) * 3 >= need).tolist():
-            here = places[k : till[k]]
-            if len(np.unique(np.concatenate([here, here + 1, here + 2]))) < need:
+            if regions and int(spots[till[k] - 1]) + len(pw) + index.window - first <= regions[-1][1]:
+                continue
+            if len(np.unique(words_at[k : till[k]])) < need:
                 continue
             x = max(int(spots[k]) - len(pw) - index.window - first, 0)
             y = min(int(spots[till[k] - 1]) + len(pw) + index.window - first, int(lens[d]))
@@ -195,11 +215,15 @@ def word_sequences(held: DataFrame) -> DataFrame:
     return held.select("n", "p").mapInArrow(run, "n long, w string").where("w <> ''").groupBy("w").agg(F.sort_array(F.collect_list("n")).alias("numbers"))
 
 
-def stock_trigrams(sequences: DataFrame, n: int) -> set[str]:
-    """Trigrams in more than ``STOCK_SHARE`` of all ``n`` word sequences; their number is bounded by the length of a passage over that share."""
-    w = sequences.select(F.split("w", " ").alias("w")).where("size(w) >= 3")
-    grams = w.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))).alias("g"))
-    return {r["g"] for r in grams.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > max(3, STOCK_SHARE * n)).collect()}
+def stock_seeds(sequences: DataFrame, n: int) -> set[str]:
+    """Seeds in more than ``STOCK_SHARE`` of all ``n`` word sequences; their number is bounded by the seeds of a passage over that share."""
+    w = sequences.select(F.split("w", " ").alias("w"))
+    found = None
+    for k, (_, x, y) in enumerate(SHAPES):
+        name = f"transform(sequence(0, size(w) - {y + 1}), i -> concat('{k} ', w[i], ' ', w[i + {x}], ' ', w[i + {y}]))"
+        one = w.where(F.size("w") > y).select(F.explode(F.array_distinct(F.expr(name))).alias("g"))
+        found = one if found is None else found.unionByName(one)
+    return {r["g"] for r in found.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > max(3, STOCK_SHARE * n)).collect()}
 
 
 def leaks(docs: DataFrame, passages: DataFrame, key: str, text: str, number: str, passage: str, window: int = 200, shortest: int = 5) -> DataFrame:
@@ -218,7 +242,7 @@ def leaks(docs: DataFrame, passages: DataFrame, key: str, text: str, number: str
     held = written(word_sequences(held), "passages")
     n = held.count()
     blocks = max(1, -(-n // BLOCK))
-    stock = stock_trigrams(held, n)
+    stock = stock_seeds(held, n)
     result = None
     for b in range(blocks):
         rows = held.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b).collect() if blocks > 1 else held.collect()

@@ -38,6 +38,43 @@ def test_cases(spark):
     assert run(spark, rows) == {(1, 0), (2, 1), (4, 3), (5, 4), (10, 9), (10, 10), (13, 11), (14, 12)}
 
 
+def test_every_stretch_with_a_misspelt_word(spark):
+    """Six stretches of five words, one word of each misspelt: every place in the stretch, and every second word."""
+
+    def bad(w):
+        return w[:2] + "z" + w[3:]
+
+    docs = []
+    for k in range(5):
+        docs.append((k, [x for i in range(0, 30, 5) for x in [*(bad(w) if j == k else w for j, w in enumerate(PASSAGES[k][i : i + 5])), *noise(3)]]))
+    docs.append((5, [x for i in range(0, 30, 5) for x in [*(bad(w) if j % 2 else w for j, w in enumerate(PASSAGES[5][i : i + 5])), *noise(3)]]))
+    assert run(spark, [(i, " ".join(w), "x") for i, w in docs]) >= {(k, k) for k in range(6)}
+
+
+def test_against_every_pair(spark):
+    """What the seeds let through is what an exact chain finds over all pairs of texts and passages."""
+    import numpy as np
+
+    mine = random.Random(31)
+    docs = []
+    for d in range(60):
+        w = noise(mine.randint(0, 40))
+        for _ in range(mine.randint(1, 4)):
+            p = PASSAGES[mine.randint(0, 29)]
+            a, n = mine.randint(0, 20), mine.randint(3, 22)
+            w += [x if mine.random() > 0.12 else x[:1] + "z" + x[2:] for x in p[a : a + n]] + noise(mine.randint(0, 30))
+        docs.append((d, w))
+    ids: dict = {}
+    code = lambda w: np.array([ids.setdefault(x, len(ids)) for x in w], np.int64)
+    want = set()
+    for d, w in docs:
+        for k, p in enumerate(PASSAGES):
+            if L.chain(L.stretches(p, code(p), w, code(w), 5), 200, 5)[0] * 2 >= len(p):
+                want.add((d, k))
+    assert len(want) > 20
+    assert run(spark, [(i, " ".join(w), "x") for i, w in docs]) == want
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 7)
     rows = [(i, " ".join(noise(10) + w), "x") for i, w in enumerate(PASSAGES)]
