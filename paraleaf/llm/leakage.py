@@ -13,6 +13,8 @@ executor whatever the set's size; the texts are streamed through each block and
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ STOCK_SHARE = 0.05
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
 SUB_BATCH = 256
 GAP = 0.01
+CELLS = 1_000_000
+RANGES = 1 << 16
 
 
 class Passages:
@@ -59,9 +63,13 @@ class Passages:
         order = np.argsort(key, kind="stable")
         self.key, self.own, self.pos, self.shape = key[order], own[order], pos[order], kind[order]
         n, cover = np.array([len(w) for w in self.words], np.int64), np.array(cover, np.int64)
+        self.signs = signatures([x for w in texts for x in w])
+        self.n, self.flat, self.starts = n, np.concatenate(self.ids or none), np.cumsum(n) - n
         self.half = (n + 1) // 2
         #: Words of the passage that seeds must cover within the window: half of what must stand there less what rare seeds do not cover at all.
         self.least = np.maximum(3, (self.half - (n - cover) + 1) // 2)
+        #: Words that must stand in runs on the diagonals of the seeds.
+        self.in_runs = np.maximum(1, self.half - (n - cover))
 
     def seeds(self, ids: np.ndarray, ends: np.ndarray):
         """(position, passage, place in it, shape) of every seed in a run of texts; ``ends`` marks where texts end."""
@@ -84,6 +92,85 @@ class Passages:
         return at[rep], self.own[inside], self.pos[inside], self.shape[inside]
 
 
+@lru_cache(1 << 16)
+def _signature(word: str) -> tuple[int, int]:
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return len(word), bits
+
+
+def signatures(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of words and maps of the letters they hold."""
+    both = [_signature(w) for w in words]
+    return np.array([n for n, _ in both], np.int64), np.array([b for _, b in both], np.uint64)
+
+
+def may_be_alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether words with these signatures can be `alike`: an edit changes the length by one at most and the map in two letters at most."""
+    most = np.maximum(1, np.maximum(a[0], b[0]) // 3)
+    return (np.abs(a[0] - b[0]) <= most) & (np.bitwise_count(a[1] ^ b[1]) <= 2 * most)
+
+
+def enough_in_runs(index: Passages, own: np.ndarray, seed_diagonal: np.ndarray, seed_group: np.ndarray, first: np.ndarray, end: np.ndarray, ids: np.ndarray, signs_at, shortest: int) -> np.ndarray:
+    """Of each seed whether runs on the diagonals of seeds nearby can hold enough words of the passage; seeds are grouped by text and passage.
+
+    A run has at least ``shortest`` - 1 words, equal ones and between two of them single ones whose letters do not speak against a misspelling; one more word
+    may follow at either end. So this is an upper bound of what `stretches` finds there. ``signs_at`` gives the signatures of the words at places of the text. Diagonals are looked at in overlapping ranges, one of
+    which holds all that a window of text can. ``own``, ``first`` and ``end`` (of the text in ``ids``) are per group.
+    """
+    reach_of = index.window + index.n[own]
+    at_range = (seed_diagonal - first[seed_group]) // reach_of[seed_group] + 4  # the diagonals of a text start at most one passage before it
+    pair = np.unique(np.concatenate([(seed_group * RANGES + at_range - k) << 32 | (seed_diagonal + (1 << 30)) for k in (0, 1)]))
+    window, diagonal = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 30)
+    windows, group = np.unique(window, return_inverse=True)
+    good = _full_windows(index, own[windows // RANGES], diagonal, group, first[windows // RANGES], end[windows // RANGES], ids, signs_at, shortest)
+    key = seed_group * RANGES + at_range
+    return np.isin(key, windows[good]) | np.isin(key - 1, windows[good])
+
+
+def _full_windows(index, own, diagonal, group, first, end, ids, signs_at, shortest) -> np.ndarray:
+    size = index.n[own]
+    good = np.zeros(len(own), bool)
+    order = np.argsort(size[group], kind="stable")
+    group, diagonal = group[order], diagonal[order]
+    by_size = np.argsort(size, kind="stable")
+    rows_of = np.bincount(group, minlength=len(own))[by_size]
+    cells = np.cumsum(rows_of * size[by_size])
+    lo = 0
+    while lo < len(by_size):  # groups of about equal length together, in tables of bounded size
+        hi = max(lo + 1, int(np.searchsorted(cells, (cells[lo - 1] if lo else 0) + CELLS, "right")))
+        chosen = by_size[lo:hi]
+        inside = np.zeros(len(own), bool)
+        inside[chosen] = True
+        take = np.flatnonzero(inside[group])
+        take = take[np.argsort(group[take], kind="stable")]
+        g, d = group[take], diagonal[take]
+        at = np.arange(int(size[chosen].max()))
+        p, t = index.starts[own[g]][:, None] + at, d[:, None] + at
+        eq = (at < size[g][:, None]) & (t >= first[g][:, None]) & (t < end[g][:, None])
+        eq &= index.flat[np.minimum(p, len(index.flat) - 1)] == ids[np.clip(t, 0, len(ids) - 1)]
+        run = eq.copy()
+        r, c = np.nonzero(eq[:, :-2] & eq[:, 2:] & ~eq[:, 1:-1])
+        if len(r):
+            here = p[r, c + 1]
+            alike = may_be_alike((index.signs[0][here], index.signs[1][here]), signs_at(t[r, c + 1]))
+            run[r[alike], c[alike] + 1] = True
+        small = at.astype(np.int16 if len(at) < 1 << 15 else np.int32)
+        left = np.maximum.accumulate(np.where(run, small.dtype.type(-1), small), axis=1)
+        right = np.minimum.accumulate(np.where(run, small.dtype.type(len(at)), small)[:, ::-1], axis=1)[:, ::-1]
+        long = run & (right - left > shortest - 1)
+        reach = long.copy()
+        reach[:, 1:] |= long[:, :-1]
+        reach[:, :-1] |= long[:, 1:]
+        reach &= at < size[g][:, None]
+        cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        got = np.logical_or.reduceat(reach, cut, axis=0).sum(1)
+        good[g[cut]] = got >= index.in_runs[own[g[cut]]]
+        lo = hi
+    return good
+
+
 def seed_name(shape: int, words: list[str]) -> str:
     return f"{shape} {' '.join(words)}"
 
@@ -159,6 +246,13 @@ def _leaks_in(index: Passages, docs: list, word_lists: list[list[str]], shortest
     at, own, place, shape = index.seeds(ids, ends)
     if not len(at):
         return
+
+    def signs_at(t: np.ndarray):
+        t, back = np.unique(t, return_inverse=True)
+        d = np.searchsorted(ends, t, "right")
+        n, bits = signatures([word_lists[k][i] for k, i in zip(d.tolist(), (t - (ends - lens)[d]).tolist(), strict=True)])
+        return n[back], bits[back]
+
     doc = np.searchsorted(ends, at, "right")
     order = np.lexsort((at, own, doc))
     at, own, place, shape, doc = at[order], own[order], place[order], shape[order], doc[order]
@@ -170,8 +264,19 @@ def _leaks_in(index: Passages, docs: list, word_lists: list[list[str]], shortest
     group = np.repeat(np.arange(len(start)), stop - start)
     take = np.arange(len(group)) - np.repeat(np.cumsum(stop - start) - (stop - start), stop - start) + np.repeat(start, stop - start)
     cover = np.unique((group * (1 << 32) + place[take])[:, None] + index.offsets[shape[take]])
-    enough = np.flatnonzero(np.bincount(cover >> 32, minlength=len(start)) >= index.least[own[start]])
-    for s, e in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
+    enough = np.bincount(cover >> 32, minlength=len(start)) >= index.least[own[start]]
+    if enough.any():
+        number = np.cumsum(enough) - 1
+        mine = take[enough[group]]
+        start, stop = start[enough], stop[enough]
+        d = doc[start]
+        mine = mine[enough_in_runs(index, own[start], at[mine] - place[mine], number[group[enough[group]]], ends[d] - lens[d], ends[d], ids, signs_at, shortest)]
+        at, own, place, shape, doc = at[mine], own[mine], place[mine], shape[mine], doc[mine]
+        start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]) if len(at) else mine
+        stop = np.r_[start[1:], len(at)] if len(at) else mine
+    else:
+        return
+    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
         spots, words_at = at[s:e], place[s:e, None] + index.offsets[shape[s:e]]
         p, d = int(own[s]), int(doc[s])
         first, need = int(ends[d] - lens[d]), int(index.least[p])
