@@ -38,39 +38,54 @@ def align(ref: Sequence, pred: Sequence) -> tuple[int, int, int, int, int, int]:
     n, m = len(ref), len(pred)
     if ref == pred:
         return n, m, 0, 0, 0, n
+    r, p = _trimmed(ref, pred)
+    ids: dict = {}
+    cost = _least(np.array([ids.setdefault(x, len(ids)) for x in r], np.int64), np.array([ids.setdefault(x, len(ids)) for x in p], np.int64))
+    dist, subs = cost // _BIG, cost % _BIG
+    dels = (dist - subs - (m - n)) // 2
+    return n, m, subs, dels, dels + m - n, n - subs - dels
+
+
+def _trimmed(ref: Sequence, pred: Sequence) -> tuple[Sequence, Sequence]:
+    """The two without their common start and end."""
+    n, m = len(ref), len(pred)
     a = 0
     while a < min(n, m) and ref[a] == pred[a]:
         a += 1
     e = 0
     while e < min(n, m) - a and ref[-1 - e] == pred[-1 - e]:
         e += 1
-    r, p = ref[a : n - e], pred[a : m - e]
-    ids: dict = {}
-    cost = _least(np.array([ids.setdefault(x, len(ids)) for x in r], np.int64), np.array([ids.setdefault(x, len(ids)) for x in p], np.int64))
-    dist, subs = cost // _BIG, cost % _BIG
-    dels = (dist - subs - (m - n)) // 2
-    return n, m, subs, dels, dels + m - n, n - subs - dels
+    return ref[a : n - e], pred[a : m - e]
 
 
 def confusions(ref: Sequence, pred: Sequence) -> Counter:
-    """Substituted pairs of the script."""
-    n, m = len(ref), len(pred)
-    t = np.zeros((n + 1, m + 1), np.int64)
-    t[:, 0], t[0] = np.arange(n + 1) * _BIG, np.arange(m + 1) * _BIG
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            t[i, j] = min(t[i - 1, j] + _BIG, t[i, j - 1] + _BIG, t[i - 1, j - 1] + (0 if ref[i - 1] == pred[j - 1] else _BIG + 1))
+    """(reference, prediction) of every edit of the script: substituted pairs, (unit, "") for deletions, ("", unit) for insertions."""
+    ref, pred = _trimmed(ref, pred)
+    ids: dict = {}
+    r = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int64)
+    p = np.array([ids.setdefault(x, len(ids)) for x in pred], np.int64)
+    n, m = len(r), len(p)
+    steps = np.arange(m + 1, dtype=np.int64) * _BIG
+    t = np.empty((n + 1, m + 1), np.int64)
+    t[0] = steps
+    for i in range(n):
+        cand = t[i] + _BIG
+        np.minimum(cand[1:], t[i, :-1] + np.where(p == r[i], 0, _BIG + 1), out=cand[1:])
+        t[i + 1] = np.minimum.accumulate(cand - steps) + steps
     out: Counter = Counter()
     i, j = n, m
     while i or j:
-        if i and t[i, j] == t[i - 1, j] + _BIG:
+        here = int(t[i, j])
+        if i and here == int(t[i - 1, j]) + _BIG:
             i -= 1
-        elif j and t[i, j] == t[i, j - 1] + _BIG:
+            out[ref[i], ""] += 1
+        elif j and here == int(t[i, j - 1]) + _BIG:
             j -= 1
+            out["", pred[j]] += 1
         else:
-            if ref[i - 1] != pred[j - 1]:
-                out[ref[i - 1], pred[j - 1]] += 1
             i, j = i - 1, j - 1
+            if ref[i] != pred[j]:
+                out[ref[i], pred[j]] += 1
     return out
 
 
