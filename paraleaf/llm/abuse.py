@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .words import plain
 
 MAX_LABELLED = 8000
+MAX_LABELLED_CHARS = 100_000_000
 PRIOR_WEIGHT = 400.0
 ROUNDS = 3
 STEP = 0.3
@@ -227,10 +229,7 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
         if d > 1 and d / math.sqrt(1 / x + 1 / y) >= 2.5 and k >= 3:
             m.score[t] = min(d, 4.0)
     m.prepare()
-    # Where that leaves most abusive documents without a telling sentence, because marks are few, sentences with a run of words that
-    # the documents hardly use and the clean ones hardly hold make the first guess.
-    told = sum(1 for ss, y in docs if y > 0 and any(max((g[2] for g in m.segments(m.tokens(w))), default=0.0) > telling_cut for w in ss if m.telling(w)))
-    few = told * 4 < n_pos
+    # Sentences with a run of words that the documents hardly use and the clean ones hardly hold make the first guess too.
     mass = sum(prior.values()) or 1
 
     odd = {w for w in seen if prior[w] < RARE * mass}
@@ -257,7 +256,7 @@ def fit(labelled: list[tuple[str, float]], corpus: Counter, telling_cut: float =
         n_abusive = n_mention = 0
         for ss, y in docs:
             for raw in ss:
-                first = few and r == 0 and novel(raw, mine if y > 0 else odd)
+                first = r == 0 and novel(raw, mine if y > 0 else odd)
                 if not first and not m.telling(raw):
                     continue
                 w = m.tokens(raw)
@@ -338,13 +337,20 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, key: str, text: str, keep:
     """(doc_id, *keep, score, best_segment, n_passages, n_words, passage, abusive), one row per document.
 
     ``score`` is -log10 of the chance of the document's best segment. Null, blank or empty texts score 0 and are not abusive; with no usable
-    labels nothing is abusive. The model is fitted on at most ``MAX_LABELLED`` labelled documents (by hash of the key);
+    labels nothing is abusive. The model is fitted on at most ``MAX_LABELLED`` labelled documents of together at most ``MAX_LABELLED_CHARS`` (by hash of the key);
     word counts and scores take in all documents and whole texts.
     """
     spark = docs.sparkSession
     keep = keep or []
     votes = label_votes(labels, key, "label").orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(votes), key).select(text, "vote").toArrow()
+    sample = written(docs.select(F.xxhash64(key).alias("h"), key, text).where(F.col(text).isNotNull()).join(F.broadcast(votes), key), "labelled")
+    chars, last = 0, None
+    for r in sample.select("h", F.length(text).alias("n")).orderBy("h", key).collect():  # at most MAX_LABELLED rows
+        chars += r["n"]
+        if chars > MAX_LABELLED_CHARS:
+            break
+        last = r["h"]
+    sample = sample.where(F.col("h") <= F.lit(last).cast("long")).select(text, "vote").toArrow()
     labelled = sorted(zip(sample.column(0).to_pylist(), map(float, sample.column(1).to_pylist()), strict=True))
     del sample
     vocabulary = {w for t, _ in labelled for s in sentences(t) for w in s}

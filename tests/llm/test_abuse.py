@@ -26,7 +26,8 @@ def test_maximal_segments_against_definition():
 
 
 def test_disguises():
-    assert A.sentences('f.o.o.l s t u p i d\nfo"ol') == [["f"], ["o"], ["o"], ["l", "stupid"], ["fool"]] or A.sentences("s t u p i d")[0] == ["stupid"]
+    assert A.sentences("s t u p i d") == [["stupid"]]
+    assert A.sentences("you f*o*o*l, st_up_id d1rt") == [["you", "fool", "stupid", "dirt"]]
     assert A.sentences("st​up1d")[0] == ["stupid"] and A.sentences("שָׁלוֹם")[0] == ["שלום"]
     assert A.sentences("") == []
 
