@@ -73,12 +73,14 @@ def _postings(reps: DataFrame, ratio: Fraction) -> DataFrame:
     """(tok, lo, hi, id, side, size, pos, b0..b3): each set's prefix, rarest tokens first, in the cells of the tokens' lists.
 
     Only how often tokens are held that at least ``total / KNOWN_TOKENS`` sets hold is sent around: these are at most ``KNOWN_TOKENS``,
-    whatever the data; rarer tokens come first in hash order and their lists are short.
+    whatever the data; rarer tokens come first in hash order. Where that leaves tokens above a cell's size unknown, because there are very many tokens, their
+    counts are joined to the postings, so that every list is cut.
     """
     spark = reps.sparkSession
     counts = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
     total = reps.agg(F.sum("size").alias("n")).first()["n"] or 0
-    known = counts.where(F.col("n") >= max(2, -(-total // KNOWN_TOKENS))).toArrow()
+    cut = max(2, -(-total // KNOWN_TOKENS))
+    known = counts.where(F.col("n") >= cut).toArrow()
     tok = known.column("tok").to_numpy()
     order = np.argsort(tok)
     shared = spark.sparkContext.broadcast((tok[order], known.column("n").to_numpy()[order].astype(np.int32)))
@@ -108,7 +110,15 @@ def _postings(reps: DataFrame, ratio: Fraction) -> DataFrame:
             cols = [flat[rep], np.minimum(s, other).astype(np.int32), np.maximum(s, other).astype(np.int32), ids[r], s.astype(np.int32), sizes[r], pos[rep].astype(np.int32), *[m[r] for m in maps]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=POSTING.names)
 
-    return reps.select("id", "size", "toks", "b0", "b1", "b2", "b3").mapInArrow(run, POSTING)
+    posts = reps.select("id", "size", "toks", "b0", "b1", "b2", "b3").mapInArrow(run, POSTING)
+    if cut <= CELL + 1:
+        return posts
+    long = counts.where((F.col("n") > CELL) & (F.col("n") < cut)).select("tok", F.ceil(F.col("n") / CELL).cast("int").alias("_blocks"))
+    posts = posts.join(long, "tok", "left").withColumn("_side", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    posts = posts.withColumn("_other", other)
+    cell = {"lo": F.least("_side", "_other"), "hi": F.greatest("_side", "_other"), "side": F.col("_side")}
+    return posts.withColumns({c: F.when(F.col("_blocks").isNull(), F.col(c)).otherwise(x) for c, x in cell.items()}).select(*POSTING.names)
 
 
 def _groups(batches, keys: int):

@@ -45,6 +45,16 @@ def test_hot_lists_are_cut(spark, monkeypatch):
     assert set(got) == brute(rows, 6, 12) and len(got) == len(set(got))
 
 
+def test_long_lists_of_uncounted_tokens_are_cut(spark, monkeypatch):
+    """Where there are too many tokens to send all counts around, long lists are cut by counts joined to them."""
+    monkeypatch.setattr(N, "CELL", 8)
+    monkeypatch.setattr(N, "KNOWN_TOKENS", 1)
+    rows = corpus(3, 60) + [(1000 + i, "a b c d e f g h i j k l m %d" % i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = [(r["a"], r["b"]) for r in N.near_duplicate_pairs(df, "k", "t", 0.6, 12).collect()]
+    assert set(got) == brute(rows, 6, 12) and len(got) == len(set(got))
+
+
 def test_edges(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, text, 9), (2, text.upper(), 9), (3, None, 9), (4, "", 9), (5, "one two", 9), (None, text, 9), (6, text + " thirteen" * 200_00, 9), (7, "שָׁלוֹם " * 12, 9), (8, "שלום " * 12, 9)]
