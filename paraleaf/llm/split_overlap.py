@@ -7,7 +7,8 @@ every position for short seeds (4 characters at 0.88); the seeds are counted per
 than the ratio forces on them, or too few common characters in any order, are dropped, the rest are decided by the exact number of
 characters shared in order.
 
-Both bounds hold wherever the edits stand, so every pair is found. Shards live in the shared folder, so a lost executor only reads again.
+Both bounds hold wherever the edits stand, so every pair is found. Shards live in the shared folder, so a lost executor only reads again; a task
+takes in ``BLOCK_CHARS`` of training text before it goes through the shards, so reading them stays small beside searching them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .words import bare
 LONGEST_SEED = 12
 SPAN = 12
 SHARD_CHARS = 4_000_000
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 1_200_000
+TASK_CHARS = 8_000_000
 SYMBOLS = 63
 #: What is kept of an index.
 KEPT = {"starts": np.int64, "alphabet": np.uint32, "symbols": np.uint8, "order": np.int32, "owner": np.int32, "held_symbols": np.int32, "bits": np.uint64, "ranks": np.int32, "before": np.int64}
@@ -312,7 +314,9 @@ def overlaps(records: DataFrame, ratio: float, least_chars: int) -> tuple[DataFr
         if names and shards:
             yield from search(names, block)
 
-    train = texts.where("not held").select("name", "norm").repartition(workers(spark))
+    train = texts.where("not held").select("name", "norm")
+    load = train.agg(F.sum(F.length("norm"))).first()[0] or 0
+    train = train.repartition(max(workers(spark), -(-load // TASK_CHARS)))
     links = train.mapInArrow(run, "train_rep string, held_rep string, shared int, train_chars int, held_chars int, spans int, longest int")
     return members, written(links, "overlap-links")
 
