@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scores import headline
+
 #: The components a headline needs.
 TRACKS = ("bidi", "line", "page", "tables", "robustness")
 
@@ -43,9 +45,7 @@ def admission(reports: DataFrame) -> DataFrame:
         .when(~F.col("scored"), "invalid_metrics")
         .otherwise("rankable")
     )
-    from ..queries_pages import WEIGHTS, geometric
-
-    head = F.round(100 * F.round(geometric(WEIGHTS, lambda k: F.col("by")[k]), 8), 6)
+    head = headline(lambda k: F.col("by")[k])
     return a.select("system", status.alias("status"), F.when(status == "rankable", head).alias("headline"))
 
 

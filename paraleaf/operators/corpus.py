@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.align import indel_ratio
 from ..functions.text import nfkc_folded, word_list
-from ..plans.shared import workers
+from ..plans.shared import workers, written
 
 #: Signs that stand between two words without blanks.
 JOINERS = tuple("־-–—/")
@@ -89,15 +89,20 @@ def audit_near_duplicates(df: DataFrame, key: str, text: str, split: str, ratio:
     return full.where(F.col("ratio") >= ratio).select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), F.round("ratio", 9).alias("ratio"))
 
 
-def greedy_quota(df: DataFrame, order: str, family: str, per_family: int, targets: dict[str, int], buckets: int = 64) -> DataFrame:
+QUOTA_ROWS = 100_000
+
+
+def greedy_quota(df: DataFrame, order: str, family: str, per_family: int, targets: dict[str, int]) -> DataFrame:
     """Rows by the number ``order`` (unique), at most ``per_family`` of a family, up to the first at which every running total meets its target.
 
-    The running totals need one order over all rows: rows fall into buckets by quantiles of the order, totals are taken over
-    the bucket sums first and then inside each bucket.
+    The running totals need one order over all rows: rows are laid out in ranges of the order of about ``QUOTA_ROWS`` rows, totals are taken over
+    the sums of the ranges first and then inside each range.
     """
     kept = df.withColumn("_f", F.row_number().over(W.partitionBy(family).orderBy(order))).where(F.col("_f") <= per_family).drop("_f")
-    cuts = kept.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)]).alias("c")).first()["c"] or []
-    kept = kept.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0))
+    n = kept.count()
+    if not n:
+        return df.limit(0)
+    kept = written(kept.repartitionByRange(max(1, -(-n // QUOTA_ROWS)), order).withColumn("_b", F.spark_partition_id()), "quota")
     sums = kept.groupBy("_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in targets])
     before = sums.select("_b", *[(F.coalesce(F.sum(f"_s_{c}").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias(f"_o_{c}") for c in targets])
     w = W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -133,7 +138,20 @@ def smart_lines(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "\n".join(join_tokens(line.split()) for line in t.replace("\r\n", "\n").replace("\r", "\n").split("\n")))
 
 
+# Private glyphs of PDF fonts and what a reader sees.
+GLYPHS = {"\uf027": "☎", "\uf0b7": "•"}
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: Every eth of a run that has no Latin letter at either end.
+LONE_ETH = f"(?:(?<!{_LATIN})(?=ð+(?!{_LATIN}))|\\G(?!^))ð"
+
+
 def repair_pdf_text(c: Column) -> Column:
-    """Byte-order marks and private glyphs dropped; a run of eth signs is the letter nun unless Latin letters stand beside it."""
-    x = F.regexp_replace(c, "[﻿]", "")
-    return F.regexp_replace(x, "(?<![A-Za-zÀ-ÿ])ð+(?![A-Za-zÀ-ÿ])", "נ")
+    """Byte-order marks dropped, private glyphs replaced; the eths of a run are the letter nun unless a Latin letter stands beside it."""
+    x = F.translate(c, "".join(GLYPHS) + "\ufeff", "".join(GLYPHS.values()))
+    return F.regexp_replace(x, LONE_ETH, "נ")
+
+
+def repair_counts(c: Column) -> dict[str, Column]:
+    """How many of each repair a text takes."""
+    names = {"bom": "\ufeff"} | {f"glyph_{ord(g):04x}": g for g in GLYPHS}
+    return {k: F.regexp_count(c, F.lit(v)).cast("long") for k, v in names.items()} | {"eth": F.regexp_count(c, F.lit(LONE_ETH)).cast("long")}

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import queries_pages as QP
+from . import queries_sources as QS
 from .functions import text as X
+from .operators import admission as D
 from .operators import evaluate as E
+from .operators import scores as S
 from .plans.shared import table, written
 from .queries_pages import PP, pred
 from .queries_text import CHARS, GRAPHEMES, PUNCT, WORDS, counters_sql
@@ -79,6 +83,95 @@ def q_gate(spark, sf):
     return E.gate(E.summed(_counts(spark, sf).join(facts, "page_id", "left_semi")).na.fill(0))
 
 
+def _family(spark, sf) -> DataFrame:
+    """Pages as children of their document: its first page without a degradation is the control."""
+    f = table(spark, sf, "gold_pages", ["page_id", "document_id", "metadata"]).select("page_id", F.col("document_id").alias("parent_id"), F.try_element_at("metadata.extra", F.lit("degradation_family")).alias("family"))
+    first = f.where("family is null").groupBy("parent_id").agg(F.min("page_id").alias("control"))
+    return f.join(first, "parent_id", "left").where("family is not null or page_id = control").select("page_id", "parent_id", F.coalesce(F.col("page_id") == F.col("control"), F.lit(False)).alias("is_control"), "family", F.lit(None).cast("string").alias("level"))
+
+
+PAIRED = ["line_gcer", "page_order_cer"]
+
+
+def _paired(spark, sf, counts=None, metrics=PAIRED) -> DataFrame:
+    rates = E.recognition()
+    c = (counts if counts is not None else _counts(spark, sf)).select("page_id", *[F.when(F.col("p_there"), rates[m]).alias(m) for m in metrics])
+    return S.robustness_pairs(_family(spark, sf).join(c, "page_id"), metrics)
+
+
+def q_robustness(spark, sf):
+    """Degraded pages against the clean page of their document: deltas over all, by family and by level; pages without prediction stay in the count."""
+    return S.robustness_summary(_paired(spark, sf), PAIRED)
+
+
+def q_lineage_issues(spark, sf):
+    facts = table(spark, sf, "gold_pages", ["page_id", "split", "metadata"]).select("page_id", F.lower(F.trim("split")).alias("split"), F.col("metadata.source_collection").alias("source"))
+    return S.lineage_issues(_family(spark, sf).join(facts, "page_id"), ["split", "source"])
+
+
+def _components(spark, sf) -> DataFrame:
+    """One row: the scores of the components, each from the pages of its track; null where its metrics are missing."""
+    facts = table(spark, sf, "gold_pages", ["page_id", "split"]).select("page_id", F.lower(F.trim("split")).alias("split"))
+    pages = written(_counts(spark, sf).join(facts, "page_id"), "component-pages")
+    rates = lambda df: E.summed(df).na.fill(0).select("n_pages", *[v.alias(k) for k, v in (E.recognition() | E.bidi_rates()).items()], F.round(2 * (F.col("gold_lines") + F.col("pred_lines") - F.col("n_pairs")) / F.greatest(F.col("gold_lines") + F.col("pred_lines"), F.lit(1)), 9).alias("line_f1"))
+    test = pages.where("split = 'test'")
+    regions = QP.q_layout_by_id(spark, sf).select(F.col("f1").alias("region_f1"))
+    order = QP.q_order_totals(spark, sf)
+    t = QS.q_table_metrics(spark, sf).agg(F.count("gold_table").alias("g"), F.count("pred_table").alias("p"), F.count_if(F.col("status") == "matched").alias("m"), F.avg("span_f1").alias("cell_span_f1"), F.avg("slot_accuracy").alias("grid_slot_accuracy"), (F.sum("cell_edits") / F.greatest(F.sum("cell_ref"), F.lit(1))).alias("cell_text_gcer"))
+    tables = t.where("g > 0").withColumn("table_presence_f1", 2 * F.col("m") / (F.col("g") + F.col("p")))
+    deltas = _paired(spark, sf, pages, ["line_gcer", "page_order_gcer"]).agg(F.avg("delta_line_gcer").alias("mean_line_gcer_delta"), F.percentile("delta_page_order_gcer", 0.9).alias("p90_page_order_gcer_delta"))
+    spread = pages.agg(F.percentile(E.error_rate("grapheme"), 0.9).alias("page_line_gcer_p90"))
+    parts = {
+        "bidi": rates(pages.where("split = 'diagnostic'")).where("n_pages > 0"),
+        "line": rates(test).where("n_pages > 0"),
+        "page": rates(test.where("track = 'modern_page_ocr'")).where("n_pages > 0").crossJoin(regions).crossJoin(order),
+        "tables": tables,
+        "robustness": rates(pages).crossJoin(deltas).crossJoin(spread),
+    }  # single rows all
+    found = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("component"), F.round(S.component(name), 8).alias("score"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def q_components(spark, sf):
+    return _components(spark, sf)
+
+
+def q_headline(spark, sf):
+    """The components, the gate's status and the headline, which stands only where all five are scored and the gate holds."""
+    c = _components(spark, sf).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("component", "score"))).alias("s"), F.count("*").alias("n_components"), F.count("score").alias("n_scored"))
+    status = q_gate(spark, sf).agg(F.first("status").alias("gate"))
+    j = c.crossJoin(status)  # two single rows
+    state = F.when(F.col("n_components") < len(S.WEIGHTS), "incomplete").when(F.col("gate") != "conformant", "non_conformant").when(F.col("n_scored") < len(S.WEIGHTS), "invalid_metrics").otherwise("rankable")
+    score = S.headline(lambda k: F.try_element_at("s", F.lit(k)))
+    return j.select("n_components", "gate", state.alias("status"), score.alias("ungated_headline"), F.when(state == "rankable", score).alias("headline"))
+
+
+def q_admission(spark, sf):
+    """One report per component through the admission steps: its suite is the hash over its gold pages, it is covered if every page has a
+    prediction, verified if the counters of its pages, taken anew from the lines, agree."""
+    facts = table(spark, sf, "gold_pages", ["page_id", "split"]).select("page_id", F.lower(F.trim("split")).alias("split"))
+    pages = _counts(spark, sf).join(facts, "page_id")
+    state = pages.agg(F.bool_and("p_there").alias("covered"), F.bool_and(F.col("codepoint_n_ref") == F.col("codepoint_substitutions") + F.col("codepoint_deletions") + F.col("codepoint_correct")).alias("verified"), F.sum(F.xxhash64("page_id").cast("decimal(38,0)")).cast("string").alias("suite"))
+    gate = q_gate(spark, sf).agg((F.first("status") == "conformant").alias("conformant"))
+    reports = _components(spark, sf).crossJoin(state).crossJoin(gate)  # single rows
+    return D.admission(reports.select(F.lit("all").alias("system"), F.col("component").alias("track"), "suite", F.lit("all").alias("model"), "verified", "covered", "conformant", "score"))
+
+
+def q_sanity(spark, sf):
+    """Six fault systems over the gold pages and ten checks of what each must show."""
+    g = table(spark, sf, "gold_pages", [*KEEP, "regions", "reading_order"])
+    rows = None
+    for name in S.fault_systems():
+        pages = E.page_pairs(g, S.faulty(g, name))
+        # A prediction states no edges; for the swapped order the indices of the regions decide.
+        one = E.summed(E.page_counts(pages, KEEP)).select(F.lit(name).alias("system"), *[v.alias(k) for k, v in (E.recognition() | E.bidi_rates()).items()])
+        rows = one if rows is None else rows.unionByName(one)
+    return S.sanity_checks(written(rows, "sanity"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 
@@ -171,6 +264,12 @@ ORACLE = {
       round(avg(lg_e / greatest(lg_ref, 1)), 9) AS macro_page_line_gcer, (SELECT round(avg(e / greatest(r, 1)), 9) FROM (SELECT sum(lg_e) AS e, sum(lg_ref) AS r FROM x GROUP BY document_id)) AS macro_document_line_gcer FROM x""",
     "q_evaluate_documents": f"SELECT document_id, count(*) AS n_pages, count(*) FILTER (there) AS n_predicted, CAST(sum(n_pairs) AS BIGINT) AS n_pairs, {_select(_S, 'line_cer', 'line_gcer', 'line_wer', 'page_order_cer')} FROM {_ALL} GROUP BY 1",
     "q_evaluate_slices": f"SELECT slice, count(*) AS n_pages, CAST(sum(gold_lines) AS BIGINT) AS gold_lines, {_select(_S, 'line_cer', 'line_gcer', 'line_exact_rate', 'page_order_cer')} FROM (SELECT *, unnest([{_SLICES}]) AS slice FROM {_ALL}) WHERE slice IS NOT NULL GROUP BY 1",
+    "q_robustness": f"""WITH x AS (SELECT page_id, document_id AS parent_id, metadata.extra['degradation_family'] AS family, CASE WHEN there THEN round(lg_e / greatest(lg_ref, 1), 9) END AS lg, CASE WHEN there THEN round(pc_e / greatest(pc_ref, 1), 9) END AS pc FROM {_ALL}),
+      c AS (SELECT parent_id, min_by(struct_pack(lg := lg, pc := pc), page_id) AS c FROM x WHERE family IS NULL GROUP BY 1),
+      p AS (SELECT family, lg - c.lg AS dl, pc - c.pc AS dp FROM x LEFT JOIN c USING (parent_id) WHERE family IS NOT NULL),
+      l AS (SELECT unnest([{{'scope': 'macro', 'value': 'all'}}, {{'scope': 'family', 'value': family}}, {{'scope': 'level', 'value': 'none'}}]) AS s, dl, dp FROM p)
+      SELECT s.scope AS scope, s.value AS value, count(*) AS n_pairs, {", ".join(f"count({d}) AS {m}_scored, round(avg({d}), 9) AS {m}_mean_delta, round(quantile_cont({d}, 0.5), 9) AS {m}_median_delta, round(quantile_cont({d}, 0.9), 9) AS {m}_p90_delta" for d, m in (("dl", "line_gcer"), ("dp", "page_order_cer")))} FROM l GROUP BY 1, 2""",
+    "q_sanity": """SELECT unnest(['perfect_has_no_errors', 'perfect_is_exact', 'perfect_keeps_order', 'empty_deletes_everything', 'empty_inserts_nothing', 'reverse_is_worse_than_marks', 'reverse_is_seen_as_visual_order', 'swap_keeps_lines', 'swap_changes_pages', 'ascii_is_better_than_empty']) AS "check", true AS passed""",
     "q_bidi_sums": f"""WITH lines AS (SELECT * FROM {_SPLIT_PAIRS}), w AS (SELECT r.split, r.eval_id, r.i, p.i AS j FROM {_WORDS_SIDE.format(WORDS.format("reference"))} r JOIN {_WORDS_SIDE.format(WORDS.format("prediction"))} p ON r.eval_id = p.eval_id AND r.w = p.w AND r.k = p.k)
       SELECT a.split, ltr_ref, ltr_ok, numeric_ref, numeric_ok, bracket_ref, bracket_ok, coalesce(order_pairs, 0) AS order_pairs, coalesce(order_ok, 0) AS order_ok, {", ".join(_SIGNS)},
       {_ok("ltr")} AS ltr_run_exact_rate, {_ok("numeric")} AS numeric_exact_rate, {_ok("bracket")} AS bracket_exact_rate, CASE WHEN coalesce(order_pairs, 0) = 0 THEN 1.0 ELSE round(order_ok / order_pairs, 9) END AS pairwise_word_order_accuracy

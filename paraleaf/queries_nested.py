@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from .operators.nested import page_tables, structural_tables
-from .plans.shared import once, table
+from pyspark.sql import functions as F
+
+from .operators.nested import LEVELS, page_tables, structural_tables, subtype_table, write_structural_tables
+from .plans.shared import new_path, once, table
 
 
 def p4_found(spark, sf):
@@ -15,6 +17,17 @@ def _level(level):
     return lambda spark, sf: structural_tables(table(spark, sf, "raw_predictions", ["raw_id", "payload", "received_at"]), level)
 
 
+def p4_subtypes(spark, sf):
+    """The typed subtype tables: rows and parents of each, from tables written in one pass over the payloads."""
+    folder = new_path(spark, "structural")
+    write_structural_tables(table(spark, sf, "raw_predictions", ["raw_id", "payload", "received_at"]), folder)
+    found = None
+    for level in LEVELS:
+        one = subtype_table(spark, folder, level).groupBy(F.lit(level).alias("level"), "subtype").agg(F.count("*").alias("n_rows"), F.count_distinct("raw_id").alias("n_payloads"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def _typed(level):
     return lambda spark, sf: page_tables(once(table(spark, sf, "prediction_pages", ["pred_id", "page_id", "regions", "received_at"]), "pred_id"), level)
 
@@ -25,6 +38,11 @@ QUERIES = {
     "p4_raw_regions": _level("region"),
     "p4_raw_lines": _level("line"),
     "p4_raw_points": _level("point"),
+    "p4_raw_region_points": _level("region_point"),
+    "p4_raw_words": _level("word"),
+    "p4_raw_tags": _level("tag"),
+    "p4_raw_fields": _level("field"),
+    "p4_subtypes": p4_subtypes,
     "p4_prediction_regions": _typed("region"),
     "p4_prediction_lines": _typed("line"),
     "p4_prediction_points": _typed("point"),

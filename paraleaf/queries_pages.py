@@ -100,6 +100,18 @@ def q_order_edges(spark, sf):
     return j.select("page_id", "gold_edges", "pred_edges", "right_edges", F.round(F.col("right_edges") / F.greatest("pred_edges", F.lit(1)), 9).alias("precision"), F.round(F.col("right_edges") / F.greatest("gold_edges", F.lit(1)), 9).alias("recall"))
 
 
+def q_order_totals(spark, sf):
+    """Over all pages: F1 of the edges and the share of precedences that the predicted order keeps; 1 where there is nothing to keep."""
+    e = q_order_edges(spark, sf).agg(F.sum("gold_edges").alias("g"), F.sum("pred_edges").alias("p"), F.sum("right_edges").alias("m"))
+    r = pred(spark, sf, "regions").select("page_id", F.posexplode("regions").alias("p", "r"))
+    w = W.partitionBy("page_id").orderBy(F.coalesce("r.reading_index", F.lit(1_000_000_000)), "p")
+    place = r.select("page_id", F.col("r.region_id").alias("id"), F.row_number().over(w).alias("at")).groupBy("page_id", "id").agg(F.min("at").alias("at"))
+    pairs = q_precedences(spark, sf).where("a <> b").join(place.select("page_id", F.col("id").alias("a"), F.col("at").alias("pa")), ["page_id", "a"]).join(place.select("page_id", F.col("id").alias("b"), F.col("at").alias("pb")), ["page_id", "b"])
+    kept = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("pa") < F.col("pb")).alias("k"))
+    j = e.crossJoin(kept)  # two single rows
+    return j.select(F.col("g").alias("gold_edges"), F.col("p").alias("pred_edges"), F.col("m").alias("right_edges"), M.precision_recall(F.col("m"), F.col("g"), F.col("p"))["f1"].alias("edge_f1"), F.col("n").alias("comparable"), F.col("k").alias("kept"), F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.col("k") / F.col("n"), 9)).alias("pairwise_accuracy"))
+
+
 def q_precedences(spark, sf):
     """Pairs of regions with a path between them: the closure of one page's graph, page by page where it lies."""
     df = gold(spark, sf, "reading_order").select("page_id", F.explode(precedence_list("reading_order.edges")).alias("e"))
@@ -206,17 +218,6 @@ def q_bootstrap(spark, sf):
     return rate.agg(F.count("*").alias("n_samples"), *[F.round(F.percentile("rate", x), 9).alias(c) for x, c in ((0.025, "lower"), (0.5, "median"), (0.975, "upper"))])
 
 
-def q_conformance(spark, sf):
-    """The gate over lines of diagnostic pages: hard checks and quality checks, one row each."""
-    pages = gold(spark, sf, "split").where("lower(trim(split)) = 'diagnostic'").select("page_id")
-    df = line_evals(spark, sf, ("page_id", "reference", "prediction")).join(pages, "page_id", "left_semi")
-    n = lambda c, p: F.coalesce(F.sum(F.regexp_count(c, F.lit(p))), F.lit(0)).cast("long")
-    a = df.agg(F.count("*").alias("n"), F.count_if(F.col("reference") == F.col("prediction")).alias("exact"), n("prediction", "[‪-‮]").alias("unsafe"), n("reference", "[()\\[\\]{}<>]").alias("rb"), n("prediction", "[()\\[\\]{}<>]").alias("pb"), n("reference", "[0-9]+").alias("rn"), n("prediction", "[0-9]+").alias("pn"), n("prediction", "[‎‏؜⁦-⁩]").alias("controls"))
-    rate = F.when(F.col("n") == 0, 1.0).otherwise(F.col("exact") / F.col("n"))
-    checks = [("unsafe_controls<=0", F.col("unsafe") <= 0, "hard"), ("exact>=0.98", rate >= 0.98, "quality"), ("brackets_equal", F.col("rb") == F.col("pb"), "quality"), ("numbers_equal", F.col("rn") == F.col("pn"), "quality"), ("controls<=0", F.col("controls") <= 0, "quality")]
-    return a.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit(k).alias("kind"), p.alias("passed")) for c, p, k in checks])).alias("c")).select("c.check", "c.kind", "c.passed")
-
-
 VARIANTS = ["clean", "blur", "jpeg", "low_contrast", "speckle", "downsample", "uneven_illumination"]
 
 
@@ -227,44 +228,6 @@ def q_variants(spark, sf):
     return df.select(F.concat("page_id", F.lit("::degradation::"), "variant").alias("variant_id"), F.col("page_id").alias("parent_page_id"), "variant", seed.alias("seed"), (F.col("variant") == "clean").alias("is_control"))
 
 
-def q_robustness(spark, sf):
-    """Lines as children of their page: the page's first line is the control, deltas are child minus control. Children without control keep their place."""
-    df = line_evals(spark, sf, ("page_id", "line_id", "model_name", "bag_of_words_error")).where("page_id is not null")
-    first = df.groupBy("page_id", "model_name").agg(F.min_by("bag_of_words_error", "eval_id").alias("control"), F.min("eval_id").alias("c"))
-    pairs = df.join(first, ["page_id", "model_name"]).where("eval_id <> c").withColumn("delta", F.col("bag_of_words_error") - F.col("control"))
-    return pairs.groupBy("model_name").agg(F.count("*").alias("n_pairs"), F.count("delta").alias("n_scored"), F.round(F.avg("delta"), 9).alias("mean_delta"), F.round(F.percentile("delta", 0.5), 9).alias("median_delta"), F.round(F.percentile("delta", 0.9), 9).alias("p90_delta"))
-
-
-#: Weights of the components in the headline.
-WEIGHTS = {"bidi": 0.12, "line": 0.20, "page": 0.34, "tables": 0.17, "robustness": 0.17}
-
-
-def geometric(weights: dict[str, float], quality) -> object:
-    """Weighted geometric mean of clamped qualities; any 0 gives 0."""
-    q = {k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality(k))) for k in weights}
-    logs = sum((w * F.ln(F.nullif(q[k], F.lit(0.0))) for k, w in weights.items()), F.lit(0.0))
-    return F.coalesce(F.exp(logs / sum(weights.values())), F.lit(0.0))
-
-
-def q_line_scores(spark, sf):
-    """Line score per model from the bag-of-words error: 1 - e .55, 1 - e / 2 .20, exact .25; rounded to 8 places and ranked. Not the survey's line component (README, not built)."""
-    df = line_evals(spark, sf, ("model_name", "reference", "prediction", "bag_of_words_error"))
-    s = df.groupBy("model_name").agg(F.avg("bag_of_words_error").alias("e"), F.count_if(F.col("reference") == F.col("prediction")).alias("x"), F.count("*").alias("n"))
-    quality = {"error": 1 - F.col("e"), "word": 1 - F.col("e") / 2, "exact": F.col("x") / F.col("n")}
-    s = s.withColumn("score", F.round(100 * F.round(geometric({"error": 0.55, "word": 0.20, "exact": 0.25}, quality.get), 8), 6))
-    rank = F.row_number().over(W.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("model_name"))).cast("long")
-    return s.select("model_name", "score", rank.alias("rank"))
-
-
-def q_headline(spark, sf):
-    """Status over the tracks and the unweighted geometric mean of their shares of test pages; no component scores (README, not built)."""
-    g = gold(spark, sf, "track", "split").groupBy("track").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim("split")) == "test").alias("t"))
-    share = g.select("track", F.round(F.col("t") / F.col("n"), 8).alias("q"), "n")
-    all_tracks = share.agg(F.count("*").alias("n_tracks"), F.min("q").alias("least"), F.round(F.exp(F.sum(F.ln(F.when(F.col("q") > 0, F.col("q")))) / F.count("*")), 6).alias("mean"))
-    status = F.when(F.col("n_tracks") < 2, "incomplete").when(F.col("least").isNull(), "invalid_metrics").when(F.col("least") <= 0, "non_conformant").otherwise("rankable")
-    return all_tracks.select("n_tracks", status.alias("status"), F.when(F.col("least") > 0, F.col("mean")).alias("headline"))
-
-
 def q_diagnostic_rank(spark, sf):
     """Models ranked inside each track; a model without scored lines in a track comes last."""
     pages = gold(spark, sf, "track")
@@ -323,6 +286,11 @@ ORACLE = {
     "q_implied_edges": f"SELECT * FROM {_IE}",
     "q_order_edges": f"""SELECT page_id, gold_edges, pred_edges, right_edges, round(right_edges / greatest(pred_edges, 1), 9) AS precision, round(right_edges / greatest(gold_edges, 1), 9) AS recall FROM (SELECT d.page_id, coalesce(g.n, 0) AS gold_edges, coalesce(p.n, 0) AS pred_edges, coalesce(b.n, 0) AS right_edges FROM gold_pages d
       LEFT JOIN (SELECT page_id, count(*) AS n FROM {_GE} GROUP BY 1) g USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM (SELECT DISTINCT * FROM {_IE}) GROUP BY 1) p USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM {_GE} JOIN (SELECT DISTINCT * FROM {_IE}) USING (page_id, a, b) GROUP BY 1) b USING (page_id))""",
+    "q_order_totals": f"""WITH RECURSIVE e AS (SELECT * FROM {_GE}), c AS (SELECT * FROM e UNION SELECT c.page_id, c.a, e.b FROM c JOIN e ON c.page_id = e.page_id AND c.b = e.a),
+      pl AS (SELECT page_id, id, min(place) AS place FROM (SELECT page_id, r.region_id AS id, row_number() OVER (PARTITION BY page_id ORDER BY coalesce(r.reading_index, 1000000000), p) AS place FROM (SELECT page_id, unnest(regions) AS r, generate_subscripts(regions, 1) AS p FROM {PP})) GROUP BY 1, 2),
+      k AS (SELECT count(*) AS n, count(*) FILTER (x.place < y.place) AS k FROM c JOIN pl x ON x.page_id = c.page_id AND x.id = c.a JOIN pl y ON y.page_id = c.page_id AND y.id = c.b WHERE c.a <> c.b),
+      i AS (SELECT DISTINCT * FROM {_IE})
+      SELECT g AS gold_edges, p AS pred_edges, m AS right_edges, f1 AS edge_f1, n AS comparable, k AS kept, CASE WHEN n = 0 THEN 1.0 ELSE round(k / n, 9) END AS pairwise_accuracy FROM (SELECT *, {_prf_sql("m", "g", "p")} FROM (SELECT (SELECT count(*) FROM e) AS g, (SELECT count(*) FROM i WHERE page_id IN (SELECT page_id FROM gold_pages)) AS p, (SELECT count(*) FROM e JOIN i USING (page_id, a, b)) AS m)), k""",
     "q_precedences": f"WITH RECURSIVE e AS (SELECT * FROM {_GE}), c AS (SELECT * FROM e UNION SELECT c.page_id, c.a, e.b FROM c JOIN e ON c.page_id = e.page_id AND c.b = e.a) SELECT * FROM c",
     "q_table_cells": f"""SELECT *, {_prf_sql("same_span", "gold_cells", "pred_cells", "span_")} FROM (SELECT coalesce(g.page_id, p.page_id) AS page_id, coalesce(g.table_id, p.table_id) AS table_id, count(g.page_id) AS gold_cells, count(p.page_id) AS pred_cells, count(*) FILTER (g.page_id IS NOT NULL AND p.page_id IS NOT NULL) AS same_span, count(*) FILTER (g.page_id IS NOT NULL AND p.page_id IS NOT NULL AND g.text IS NOT DISTINCT FROM p.text) AS same_text
       FROM {_cells_sql("gold_pages")} g FULL JOIN {_cells_sql(PP)} p ON g.page_id = p.page_id AND g.table_id = p.table_id AND g.row_start = p.row_start AND g.row_end = p.row_end AND g.col_start = p.col_start AND g.col_end = p.col_end GROUP BY 1, 2)""",
@@ -339,15 +307,6 @@ ORACLE = {
     "q_bootstrap": f"""WITH docs AS (SELECT document_id, sum(CAST(round(bag_of_words_error * 1000000) AS BIGINT)) AS e, count(*) AS n FROM {LE} WHERE document_id IS NOT NULL AND bag_of_words_error IS NOT NULL GROUP BY 1), d AS (SELECT *, unnest(range(1, {SAMPLES + 1})) AS sample FROM docs),
       k AS (SELECT sample, e, n, {_U} AS u FROM d), w AS (SELECT sample, e, n, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END AS k FROM k),
       r AS (SELECT sum(k * e) / sum(k * n) / 1000000 AS rate FROM w GROUP BY sample HAVING sum(k * n) > 0) SELECT count(*) AS n_samples, round(quantile_cont(rate, 0.025), 9) AS lower, round(quantile_cont(rate, 0.5), 9) AS median, round(quantile_cont(rate, 0.975), 9) AS upper FROM r""",
-    "q_conformance": f"""SELECT unnest(['unsafe_controls<=0', 'exact>=0.98', 'brackets_equal', 'numbers_equal', 'controls<=0']) AS "check", unnest(['hard', 'quality', 'quality', 'quality', 'quality']) AS kind, unnest([u <= 0, CASE WHEN n = 0 THEN true ELSE x / n >= 0.98 END, rb = pb, rn = pn, c <= 0]) AS passed FROM (
-      SELECT count(*) AS n, count(*) FILTER (reference = prediction) AS x, coalesce(sum(len(regexp_extract_all(prediction, '[‪-‮]'))), 0) AS u, coalesce(sum(len(regexp_extract_all(reference, '[()\\[\\]{{}}<>]'))), 0) AS rb, coalesce(sum(len(regexp_extract_all(prediction, '[()\\[\\]{{}}<>]'))), 0) AS pb, coalesce(sum(len(regexp_extract_all(reference, '[0-9]+'))), 0) AS rn, coalesce(sum(len(regexp_extract_all(prediction, '[0-9]+'))), 0) AS pn, coalesce(sum(len(regexp_extract_all(prediction, '[‎‏؜⁦-⁩]'))), 0) AS c
-      FROM {LE} WHERE page_id IN (SELECT page_id FROM gold_pages WHERE lower(trim(split)) = 'diagnostic'))""",
     "q_variants": f"SELECT page_id || '::degradation::' || variant AS variant_id, page_id AS parent_page_id, variant, CAST(('0x' || substr(sha256(coalesce(image.sha256, '') || '|' || variant), 1, 8))::UBIGINT AS BIGINT) AS seed, variant = 'clean' AS is_control FROM (SELECT *, unnest({VARIANTS}) AS variant FROM gold_pages)",
-    "q_robustness": f"""WITH d AS (SELECT * FROM {LE} WHERE page_id IS NOT NULL), f AS (SELECT page_id, model_name, min(eval_id) AS c FROM d GROUP BY 1, 2), x AS (SELECT f.*, d.bag_of_words_error AS control FROM f JOIN d ON d.eval_id = f.c), p AS (SELECT d.model_name, d.bag_of_words_error - control AS delta FROM d JOIN x ON d.page_id = x.page_id AND d.model_name IS NOT DISTINCT FROM x.model_name WHERE d.eval_id <> c)
-      SELECT model_name, count(*) AS n_pairs, count(delta) AS n_scored, round(avg(delta), 9) AS mean_delta, round(quantile_cont(delta, 0.5), 9) AS median_delta, round(quantile_cont(delta, 0.9), 9) AS p90_delta FROM p GROUP BY 1""",
-    "q_line_scores": f"""SELECT model_name, score, row_number() OVER (ORDER BY score DESC NULLS LAST, model_name) AS rank FROM (SELECT model_name, round(100 * round(CASE WHEN least(a, b, c) <= 0 THEN 0 ELSE exp(0.55 * ln(least(a, 1)) + 0.20 * ln(least(b, 1)) + 0.25 * ln(least(c, 1))) END, 8), 6) AS score
-      FROM (SELECT model_name, 1 - avg(bag_of_words_error) AS a, 1 - avg(bag_of_words_error) / 2 AS b, count(*) FILTER (reference = prediction) / count(*) AS c FROM {LE} GROUP BY 1))""",
-    "q_headline": """SELECT n_tracks, CASE WHEN n_tracks < 2 THEN 'incomplete' WHEN least IS NULL THEN 'invalid_metrics' WHEN least <= 0 THEN 'non_conformant' ELSE 'rankable' END AS status, CASE WHEN least > 0 THEN mean END AS headline FROM (SELECT count(*) AS n_tracks, min(q) AS least, round(exp(sum(ln(CASE WHEN q > 0 THEN q END)) / count(*)), 6) AS mean
-      FROM (SELECT track, round(count(*) FILTER (lower(trim(split)) = 'test') / count(*), 8) AS q FROM gold_pages GROUP BY 1))""",
     "q_diagnostic_rank": f"SELECT track, model_name, error, row_number() OVER (PARTITION BY track ORDER BY error NULLS LAST, model_name) AS rank FROM (SELECT track, model_name, round(avg(bag_of_words_error), 9) AS error FROM {LE} JOIN gold_pages USING (page_id) GROUP BY 1, 2)",
 }

@@ -102,16 +102,6 @@ def q_visual_lines(spark, sf):
     return boxes.select("page_id", F.size(visual_lines("w")).cast("long").alias("n_rows"))
 
 
-def q_admission(spark, sf):
-    """The admission steps on reports made of each model's line results: one system per model, the same number for each track (README, not built)."""
-    from .queries_text import line_evals
-
-    df = line_evals(spark, sf, ("model_name", "reference", "prediction", "bag_of_words_error"))
-    s = df.groupBy("model_name").agg(F.round(1 - F.avg("bag_of_words_error"), 8).alias("q"), F.min("eval_id").alias("first"))
-    rows = s.select(F.col("model_name").alias("system"), F.explode(F.array(*map(F.lit, D.TRACKS))).alias("track"), F.lit("suite").alias("suite"), F.col("model_name").alias("model"), F.lit(True).alias("verified"), (F.col("first") >= 0).alias("covered"), (F.col("q") > 0.5).alias("conformant"), F.col("q").alias("score"))
-    return D.admission(rows)
-
-
 def q_recomputed(spark, sf):
     """Counters per model computed line by line and from distinct pairs times their count, compared row by row: no rows if they agree."""
     from .functions import align as A
@@ -124,20 +114,6 @@ def q_recomputed(spark, sf):
     return D.same_rows(first, pairs.groupBy("model_name").agg(*[F.sum(F.col("k") * F.col("a")[c]).alias(c) for c in A.COUNTERS]))
 
 
-def q_sanity(spark, sf):
-    """Six fault systems over gold lines and what each must show."""
-    from .functions import align as A
-    from .functions import text as X
-
-    t = gold(spark, sf, "regions").select(F.explode("regions").alias("r")).select(F.explode("r.lines").alias("l")).where("l.text <> ''").select(X.nfc("l.text").alias("g"))
-    faults = {"perfect": F.col("g"), "empty": F.lit(""), "reverse": F.array_join(F.reverse(X.graphemes("g")), ""), "strip_marks": F.regexp_replace("g", f"[{X.HEBREW_MARKS}]", ""), "ascii": F.translate("g", "־׳״׃", "-'\":")}
-    long = t.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("system"), v.alias("p")) for k, v in faults.items()])).alias("x")).select("g", "x.system", "x.p")
-    c = long.withColumn("a", A.aligned_units(X.graphemes("g"), X.graphemes("p"))).groupBy("system").agg(F.sum(F.col("a.substitutions") + F.col("a.deletions") + F.col("a.insertions")).alias("e"), F.sum("a.n_ref").alias("n"))
-    rate = F.col("e") / F.greatest("n", F.lit(1))
-    ok = F.when(F.col("system") == "perfect", rate == 0).when(F.col("system") == "empty", rate >= 0.95).when(F.col("system") == "reverse", rate > 0.25).otherwise(rate >= 0)
-    return c.select("system", ok.alias("as_expected"))
-
-
 def q_text_agreement(spark, sf):
     """How far prediction and reference agree as two extractions of one line, per model; all three floors must hold."""
     from .operators.agreement import text_agreement

@@ -6,6 +6,7 @@ file's content is Python, inside Arrow batches, one page at a time.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -163,11 +164,15 @@ def xml_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def paired_parity(page: DataFrame, alto_pages: DataFrame) -> DataFrame:
-    """(line_id, problem): lines of one format without a twin, or with other text but for blanks."""
-    flat = lambda d, n: d.select(F.explode("regions").alias("r")).select(F.explode("r.lines").alias("l")).select("l.line_id", F.regexp_replace("l.text", r"\s+", "").alias(n), F.lit(1).alias(n + "_in"))
-    j = flat(page, "a").join(flat(alto_pages, "b"), "line_id", "full")
-    problem = F.when(F.col("b_in").isNull(), "missing_in_alto").when(F.col("a_in").isNull(), "missing_in_page").when(F.col("a") != F.col("b"), "text_differs")
-    return j.withColumn("problem", problem).where("problem is not null").select("line_id", "problem")
+    """(page_id, line_id, problem): lines of a page in one format without a twin in the other, or with other text but for blanks."""
+
+    def flat(d, n):
+        d = d.select("page_id", F.explode("regions").alias("r")).select("page_id", F.explode("r.lines").alias("l"))
+        return d.select("page_id", "l.line_id", F.regexp_replace("l.text", r"\s+", "").alias(n), F.lit(1).alias(n + "_in"))
+
+    j = flat(page, "a").join(flat(alto_pages, "b"), ["page_id", "line_id"], "full")
+    problem = F.when(F.col("b_in").isNull(), "missing_in_alto").when(F.col("a_in").isNull(), "missing_in_page").when(~F.col("a").eqNullSafe(F.col("b")), "text_differs")
+    return j.withColumn("problem", problem).where("problem is not null").select("page_id", "line_id", "problem")
 
 
 TSV = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
@@ -255,29 +260,45 @@ def image_text(df: DataFrame) -> DataFrame:
 
 
 def tar_samples(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """(shard, key, text, image_bytes, problem) of TAR shards that pair <key>.json with an image; links, outside paths and members too large are problems."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
+    """(shard, key, text, image_bytes, problem) of TAR shards that pair <key>.json with an image; links, outside paths and members too large are problems.
+
+    Shards are read as streams where the tasks run: a sample is given out when its pair is complete, so only members still waiting for theirs are
+    held, whatever the size of the shard. A JSON text that its ``text_sha256`` does not fit is a problem as well.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path")  # names only; contents are not read here
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+
+    def samples(p: str):
+        from pyarrow import fs
+
+        where, inside = fs.FileSystem.from_uri(p)
+        waiting: dict[str, dict] = {}
+        with where.open_input_stream(inside) as raw, tarfile.open(fileobj=raw, mode="r|") as t:
+            for m in t:
+                key, _, suffix = m.name.partition(".") if not m.name.startswith(".") else (m.name, "", "")
+                s = waiting.setdefault(key, {"problem": None})
+                if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/") or m.size > most_bytes:
+                    s["problem"] = "unsafe_member"
+                elif suffix == "json":
+                    try:
+                        j = json.loads(t.extractfile(m).read())
+                        s["text"] = j.get("text")
+                        if j.get("text_sha256") not in (None, hashlib.sha256((s["text"] or "").encode()).hexdigest()):
+                            s["problem"] = "text_hash"
+                    except (ValueError, AttributeError):
+                        s["problem"] = "bad_json"
+                else:
+                    s["image"] = t.extractfile(m).read()
+                if "image" in s and ("text" in s or s["problem"]):
+                    yield key, waiting.pop(key)
+        yield from waiting.items()
 
     def run(batches):
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: dict[str, dict] = {}
-                with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                    for m in t:
-                        key, _, suffix = m.name.partition(".")
-                        s = found.setdefault(key, {"problem": None})
-                        if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/") or m.size > most_bytes:
-                            s["problem"] = "unsafe_member"
-                        elif suffix == "json":
-                            try:
-                                s["text"] = json.loads(t.extractfile(m).read()).get("text")
-                            except ValueError:
-                                s["problem"] = "bad_json"
-                        else:
-                            s["image"] = t.extractfile(m).read()
-                rows = [(p.rsplit("/", 1)[-1], k, s.get("text"), s.get("image"), s["problem"] or (None if "text" in s and "image" in s else "unpaired")) for k, s in sorted(found.items())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["shard", "key", "text", "image_bytes", "problem"])
+            for p in batch.column(0).to_pylist():
+                for k, s in samples(p):
+                    row = (p.rsplit("/", 1)[-1], k, s.get("text"), s.get("image"), s["problem"] or (None if "text" in s and "image" in s else "unpaired"))
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds, strict=True)], names=["shard", "key", "text", "image_bytes", "problem"])
 
     return files.mapInArrow(run, "shard string, key string, text string, image_bytes binary, problem string")
 

@@ -1,6 +1,6 @@
 import json
 
-from paraleaf.operators.nested import LEVELS, PAIR, PAIRS, XY, XYS, delta, page_tables, rows_of, states, structural_tables, write_structural_tables
+from paraleaf.operators.nested import LEVELS, PAIR, PAIRS, XY, XYS, delta, page_tables, rows_of, states, structural_tables, subtype_table, write_structural_tables
 
 PAGE = {
     "page_id": "p1",
@@ -52,6 +52,29 @@ def test_table(spark, tmp_path):
     assert set(paths) == set(LEVELS) and spark.read.parquet(paths["point"]).count() == 7
 
 
+def test_every_level_keeps_its_parent(spark, tmp_path):
+    page = {
+        "page_id": "p",
+        "model": {"name": "m"},
+        "form_fields": [{"field_id": "f", "value_text": "v"}, {"field_id": "g", "label_text": "l", "value_text": None}, 7],
+        "regions": [{"region_id": "r", "polygon": [[0, 0], [1, 0], [1, 1]], "lines": [{"line_id": "l", "text": "a b", "words": [{"text": "a", "conf": 0.5}, "b"], "tags": ["x", "y"], "reading_index": 2}, {"line_id": "k", "words": None, "tags": []}]}],
+    }
+    raw = spark.createDataFrame([(1, json.dumps(page)), (2, None), (3, "[1, 2]")], "raw_id long, payload string")
+    get = lambda level, *cols: [tuple(r[c] for c in cols) for r in structural_tables(raw, level).collect()]
+    assert get("word", "region_id", "line_id", "word_no", "text", "conf") == [("r", "l", 1, "a", 0.5), ("r", "l", 2, "b", None)]
+    assert get("tag", "line_id", "tag_no", "tag") == [("l", 1, "x"), ("l", 2, "y")]
+    assert get("field", "page_id", "field_no", "field_id", "label_text", "value_text") == [("p", 1, "f", None, "v"), ("p", 2, "g", "l", None)]
+    assert get("region_point", "region_id", "point_no", "x", "y") == [("r", 1, 0.0, 0.0), ("r", 2, 1.0, 0.0), ("r", 3, 1.0, 1.0)]
+    write_structural_tables(raw, str(tmp_path / "t"))
+    for level in LEVELS:
+        once = sorted(map(str, structural_tables(raw, level).collect()))
+        assert sorted(map(str, subtype_table(spark, str(tmp_path / "t"), level).collect())) == once
+    shapes = {r["subtype"] for r in subtype_table(spark, str(tmp_path / "t"), "line").collect()}
+    assert shapes == {"line[points:none+words+tags+indexed]", "line[points:none]"}
+    assert "n_words" not in subtype_table(spark, str(tmp_path / "t"), "line", "line[points:none]").columns
+    assert subtype_table(spark, str(tmp_path / "t"), "line", "line[points:none+words+tags+indexed]").select("n_words", "reading_index").collect() == [(2, 2)]
+
+
 def test_typed_columns(spark):
     schema = "pred_id long, page_id string, regions array<struct<region_id:string,type:string,reading_index:int,lines:array<struct<line_id:string,text:string,reading_index:int,polygon:array<array<double>>>>>>"
     rows = [(1, "p", [("r", "t", 0, [("l", "x", 0, [[1.0, 2.0]]), ("m", "y", None, None)])]), (2, "q", None), (3, "s", [("r", None, None, None)])]

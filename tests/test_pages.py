@@ -77,8 +77,28 @@ def test_quota_and_repair(spark):
     df = spark.createDataFrame([(i, f"f{i % 5}", 1) for i in range(100)], "i long, f string, n long")
     got = sorted(r["i"] for r in C.greedy_quota(df, "i", "f", 4, {"n": 10}).collect())
     assert got == list(range(10))
-    t = spark.createDataFrame([("ða ﻿ððב",)], "t string")
-    assert t.select(C.repair_pdf_text(F.col("t"))).first()[0] == "ða נב"
+    assert C.greedy_quota(df.limit(0), "i", "f", 4, {"n": 10}).count() == 0
+    t = spark.createDataFrame([("ða \ufeffððב",), ("\uf027 03-1 \uf0b7 ðב ð",), ("xð ðy éð",), (None,)], "t string")
+    assert [r[0] for r in t.select(C.repair_pdf_text(F.col("t"))).collect()] == ["ða ננב", "☎ 03-1 • נב נ", "xð ðy éð", None]
+    n = [tuple(r) for r in t.select(*C.repair_counts(F.col("t")).values()).collect()]
+    assert n == [(1, 0, 0, 2), (0, 1, 1, 2), (0, 0, 0, 0), (None, None, None, None)]
+
+
+def test_quota_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "QUOTA_ROWS", 7)
+    df = spark.createDataFrame([(i * 37 % 1000, f"f{i % 500}", 1 + i % 3) for i in range(1000)], "i long, f string, n long")
+    rows, total, want, held = sorted(map(tuple, df.collect())), 0, [], {}
+    for i, f, n in rows:
+        held[f] = held.get(f, 0) + 1
+        if held[f] <= 1:
+            if total >= 300:
+                break
+            want.append(i)
+            total += n
+    assert sorted(r["i"] for r in C.greedy_quota(df, "i", "f", 1, {"n": 300}).collect()) == want
+
+
+def test_joined_tokens(spark):
     j = spark.createDataFrame([(["a", "(", "b", ")", ",", "c"],)], "w array<string>")
     assert j.select(C.smart_join(F.col("w"))).first()[0] == "a (b), c"
 
