@@ -23,10 +23,12 @@ from pyspark.sql import types as T
 
 # Letters of another script with the same shape, foreign letter then Latin letter.
 SAME_SHAPE = (
-    ("АВЕЅІЈКМНОРСТУХЁЇ", "ABESIJKMHOPCTYXËÏ"),  # Cyrillic capitals
-    ("аеѕіјорсухёї", "aesijopcyxëï"),  # Cyrillic small letters
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("ο", "o"),  # Greek small letters
+    ("АВЕЅІЈКМНОРСТУХӀԚԜЁЇ", "ABESIJKMHOPCTYXIQWËÏ"),  # Cyrillic capitals
+    ("аеѕіјорсухһӏԁԛԝёї", "aesijopcyxhldqwëï"),  # Cyrillic small letters
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹ", "ABEZHIKMNOPTYXJC"),  # Greek capitals
+    ("νοϲϳ", "vocj"),  # Greek small letters
+    ("Օօ", "Oo"),  # Armenian
+    ("ɡ", "g"),  # Latin
 )
 # Yiddish joined letters, which have no decomposition of their own.
 JOINED = (("װ", "וו"), ("ױ", "וי"), ("ײ", "יי"))

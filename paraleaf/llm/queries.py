@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import once, table, written
 from .abuse import abuse_scores
 from .canonical import canonical_columns, canonical_sql, same_look
-from .group_splits import plain_split, stratified_splits, torn_groups
+from .group_splits import NOT_KNOWN, plain_split, stratified_splits, torn_groups
 from .leakage import leaks
 from .near_duplicates import linked_members, near_duplicate_pairs
 from .packing import fill_windows, token_counts, window_report
@@ -148,6 +148,33 @@ QUERIES = {
     "p8_source_rates": p8_source_rates,
 }
 
+#: Sets of (word, occurrence) of the heads with at least 12 words, by all pairs; no blocks, maps or classes.
+_HEADS = """e AS (SELECT evidence_id AS id, text_head FROM page_evidence WHERE evidence_id IS NOT NULL AND text_head IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY received_at NULLS LAST) = 1),
+  t AS (SELECT id, w, row_number() OVER (PARTITION BY id, w) AS k FROM (SELECT id, unnest(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text_head)), '[\\p{M}]', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM e)),
+  s AS (SELECT id, count(*) AS n, string_agg(w || ' ' || k, '|' ORDER BY w, k) AS sig FROM t GROUP BY 1 HAVING count(*) >= 12),
+  u AS (SELECT t.* FROM t SEMI JOIN s ON t.id = s.id),
+  p AS (SELECT x, y FROM (SELECT a.id AS x, b.id AS y, count(*) AS c FROM u a JOIN u b ON a.w = b.w AND a.k = b.k AND a.id < b.id GROUP BY 1, 2) JOIN s sx ON sx.id = x JOIN s sy ON sy.id = y WHERE c * 10 >= 6 * (sx.n + sy.n - c))"""
+
+
+def _plain_id_sql(c: str) -> str:
+    x = f"nullif(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), '')"
+    return f"(CASE WHEN {x} NOT IN ({', '.join(repr(v) for v in NOT_KNOWN)}) THEN '{c}:' || {x} END)"
+
+
+#: Groups by the closure of the relation "has a value in common with the least sample of the value".
+_GROUPS = f"""ctx AS (SELECT context_id, any_value(CASE WHEN s = 'training' THEN 'train' WHEN s IN ('validation', 'valid') THEN 'dev' WHEN s <> '' THEN s END) AS split FROM (SELECT context_id, lower(trim(regexp_replace(split, '\\s+', ' ', 'g'))) AS s FROM conversion_contexts) GROUP BY 1),
+  r AS (SELECT item_no, x.split AS split, writer, source_doc, entity FROM (SELECT * FROM samples WHERE item_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_no ORDER BY received_at NULLS LAST) = 1) s LEFT JOIN ctx x ON s.context_id = x.context_id),
+  v AS (SELECT * FROM (SELECT item_no, unnest([{", ".join(map(_plain_id_sql, RELATED))}]) AS v FROM r) WHERE v IS NOT NULL),
+  e AS (SELECT DISTINCT v.item_no AS a, m AS b FROM v JOIN (SELECT v, min(item_no) AS m FROM v GROUP BY 1) USING (v) WHERE item_no <> m),
+  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  c AS (SELECT item_no AS x, item_no AS g FROM r UNION SELECT s.a, c.g FROM c JOIN s ON c.x = s.b),
+  m AS (SELECT x, min(g) AS g FROM c GROUP BY 1)"""
+
 ORACLE = {
+    "p1_found": f"WITH {_HEADS} SELECT x AS evidence_id_a, y AS evidence_id_b FROM p",
+    "p1_classes": f"""WITH {_HEADS}, q AS (SELECT id, min(id) OVER (PARTITION BY sig) AS r, count(*) OVER (PARTITION BY sig) AS k FROM s),
+      l AS (SELECT DISTINCT a.r AS x, b.r AS y FROM p JOIN q a ON a.id = p.x JOIN q b ON b.id = p.y WHERE a.r <> b.r), d AS (SELECT x, count(DISTINCT y) AS n FROM (SELECT x, y FROM l UNION SELECT y, x FROM l) GROUP BY 1)
+      SELECT id, r AS class_id, k AS n_copies, coalesce(n, 0) AS n_links FROM q LEFT JOIN d ON d.x = q.r""",
+    "p3_found": f"WITH RECURSIVE {_GROUPS} SELECT x AS item_no, g AS group_no FROM m WHERE g IN (SELECT g FROM m JOIN r ON r.item_no = m.x WHERE r.split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT r.split) > 1)",
     "p5_found": f"SELECT DISTINCT eval_id FROM line_evals WHERE reference <> prediction AND eval_id IS NOT NULL AND {canonical_sql('reference')} = {canonical_sql('prediction')}",
 }

@@ -27,3 +27,9 @@ def test_one_form_is_stable(spark):
     assert canonical_columns(once, ["t"]).where("t <> t_one_form").count() == 0
     one, many = mappings()
     assert all(len(v) == 1 for v in one.values()) and "²" not in one and "②" not in one and "①" not in many
+
+
+def test_letters_of_other_scripts(spark):
+    rows = [("Օօ ԁһԛԝӏ ν ɡ", "Oo dhqwl v g"), ("Ԛ", "Q"), ("ı", "i"), ("ν", "V")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "k long, a string, b string")
+    assert sorted(r["k"] for r in C.same_look(df, "k", "a", "b").collect()) == [0, 1]
