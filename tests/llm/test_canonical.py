@@ -32,4 +32,4 @@ def test_one_form_is_stable(spark):
 def test_letters_of_other_scripts(spark):
     rows = [("Օօ ԁһԛԝӏ ν ɡ", "Oo dhqwl v g"), ("Ԛ", "Q"), ("ı", "i"), ("ν", "V")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "k long, a string, b string")
-    assert sorted(r["k"] for r in C.same_look(df, "k", "a", "b").collect()) == [0, 1]
+    assert sorted(r["k"] for r in same_look(df, "k", "a", "b").collect()) == [0, 1]
