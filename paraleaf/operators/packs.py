@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import re
-import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import files
 from ..sources.registry import canonical, fingerprint
 from .corpus import hmac_id
 
@@ -21,54 +19,36 @@ FORBIDDEN = ("text", "page_text", "value_text", "label_text", "regions_gold", "d
 
 def inventory(folder: str) -> dict[str, dict]:
     """sha256 and size of every file below ``folder``, but for the manifest and the freeze marker."""
-    out = {}
-    for base, dirs, names in os.walk(folder):
-        dirs.sort()
-        for n in sorted(names):
-            if n in (MANIFEST, FROZEN) or n.startswith((".", "_")):
-                continue
-            p = os.path.join(base, n)
-            h = hashlib.sha256()
-            with open(p, "rb") as f:
-                for block in iter(lambda: f.read(1 << 20), b""):
-                    h.update(block)
-            out[os.path.relpath(p, folder)] = {"sha256": h.hexdigest(), "bytes": os.path.getsize(p)}
-    return out
+    return files.hashes(folder, (MANIFEST, FROZEN))
 
 
 def build_root(folder: str, tables: dict[str, DataFrame], documents: dict[str, dict]) -> dict:
     """A corpus root: tables as JSON lines, documents as canonical JSON, a manifest; built beside and renamed into place."""
-    if os.path.exists(folder):
+    if files.exists(folder):
         raise FileExistsError(folder)
     work = folder + ".part"
-    shutil.rmtree(work, ignore_errors=True)
-    os.makedirs(work)
+    files.remove(work)
     for name, df in tables.items():
-        df.write.mode("overwrite").json(os.path.join(work, name))
+        df.write.mode("overwrite").json(f"{work}/{name}")
     for name, value in documents.items():
-        with open(os.path.join(work, name), "w", encoding="utf-8") as f:
-            f.write(canonical(value) + "\n")
-    files = inventory(work)
-    manifest = {"files": files, "fingerprint": fingerprint(files)}
-    with open(os.path.join(work, MANIFEST), "w", encoding="utf-8") as f:
-        json.dump(manifest, f, sort_keys=True, indent=2)
-    os.rename(work, folder)
+        files.write_text(f"{work}/{name}", canonical(value) + "\n")
+    held = inventory(work)
+    manifest = {"files": held, "fingerprint": fingerprint(held)}
+    files.write_text(f"{work}/{MANIFEST}", json.dumps(manifest, sort_keys=True, indent=2))
+    files.rename(work, folder)
     return manifest
 
 
 def verify_root(folder: str) -> list[str]:
     """What does not agree with the manifest (and the freeze marker, if any); empty if all does."""
-    with open(os.path.join(folder, MANIFEST), encoding="utf-8") as f:
-        manifest = json.load(f)
+    manifest = json.loads(files.read_text(f"{folder}/{MANIFEST}"))
     now = inventory(folder)
     problems = [f"missing: {p}" for p in manifest["files"] if p not in now] + [f"added: {p}" for p in now if p not in manifest["files"]]
     problems += [f"changed: {p}" for p, v in now.items() if p in manifest["files"] and manifest["files"][p] != v]
     if manifest["fingerprint"] != fingerprint(manifest["files"]):
         problems.append("fingerprint of the manifest")
-    if os.path.exists(os.path.join(folder, FROZEN)):
-        with open(os.path.join(folder, FROZEN), encoding="utf-8") as f:
-            if json.load(f).get("fingerprint") != manifest["fingerprint"]:
-                problems.append("freeze marker")
+    if files.exists(f"{folder}/{FROZEN}") and json.loads(files.read_text(f"{folder}/{FROZEN}")).get("fingerprint") != manifest["fingerprint"]:
+        problems.append("freeze marker")
     return problems
 
 
@@ -76,10 +56,8 @@ def freeze(folder: str) -> str:
     """Writes the freeze marker after verifying; a root that does not verify is not frozen."""
     if problems := verify_root(folder):
         raise ValueError("; ".join(problems))
-    with open(os.path.join(folder, MANIFEST), encoding="utf-8") as f:
-        mark = json.load(f)["fingerprint"]
-    with open(os.path.join(folder, FROZEN), "w", encoding="utf-8") as f:
-        json.dump({"fingerprint": mark}, f)
+    mark = json.loads(files.read_text(f"{folder}/{MANIFEST}"))["fingerprint"]
+    files.write_text(f"{folder}/{FROZEN}", json.dumps({"fingerprint": mark}))
     return mark
 
 

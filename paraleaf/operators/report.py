@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import files as put
+
 
 def flattened(metrics: dict, prefix: str = "") -> dict[str, object]:
     """Nested metrics as dotted names; lists are left out."""
@@ -28,23 +28,32 @@ def long_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.metric", "m.value")
 
 
-def write_bundle(folder: str, metrics: dict, per_page: DataFrame, errors: DataFrame) -> dict:
-    """metrics.json, summary.csv, per_page and errors as JSON lines below ``folder`` (a local or mounted path), and run_manifest.json."""
+def html_table(title: str, metrics: dict) -> str:
+    """The scalars of a report as one page."""
+    from html import escape
+
+    rows = "".join(f"<tr><td>{escape(str(k))}</td><td>{escape(shown(k, v))}</td></tr>" for k, v in sorted(flattened(metrics).items()))
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{rows}</table></body></html>'
+
+
+def shown(name: str, value) -> str:
+    """A number as reports show it: rates as percentages, other fractions with four places, counts with thousands marked, a missing one as a dash."""
+    if value is None:
+        return "–"
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return str(value)
+    if name.endswith(("rate", "cer", "wer", "f1", "precision", "recall", "accuracy")):
+        return f"{100 * value:.2f}%"
+    return f"{value:,}" if isinstance(value, int) else f"{value:.4f}"
+
+
+def write_bundle(folder: str, metrics: dict, per_page: DataFrame, errors: DataFrame, title: str = "Report") -> dict:
+    """metrics.json, summary.csv, report.html, per_page and errors as JSON lines below ``folder``, and run_manifest.json with hash and size of each file."""
     per_page.write.mode("overwrite").json(f"{folder}/per_page")
     errors.write.mode("overwrite").json(f"{folder}/errors")
-    with open(f"{folder}/metrics.json", "w", encoding="utf-8") as f:
-        json.dump(metrics, f, ensure_ascii=False, sort_keys=True, indent=2)
-    with open(f"{folder}/summary.csv", "w", encoding="utf-8") as f:
-        f.write("metric,value\n")
-        f.writelines(f"{k},{v}\n" for k, v in sorted(flattened(metrics).items()))
-    files = {}
-    for base, _, names in os.walk(folder):
-        for n in sorted(names):
-            if not n.startswith((".", "_")) and n != "run_manifest.json":
-                p = os.path.join(base, n)
-                with open(p, "rb") as f:
-                    b = f.read()
-                files[os.path.relpath(p, folder)] = {"sha256": hashlib.sha256(b).hexdigest(), "bytes": len(b)}
-    with open(f"{folder}/run_manifest.json", "w", encoding="utf-8") as f:
-        json.dump({"files": files}, f, sort_keys=True, indent=2)
+    put.write_text(f"{folder}/metrics.json", json.dumps(metrics, ensure_ascii=False, sort_keys=True, indent=2))
+    put.write_text(f"{folder}/summary.csv", "metric,value\n" + "".join(f"{k},{v}\n" for k, v in sorted(flattened(metrics).items())))
+    put.write_text(f"{folder}/report.html", html_table(title, metrics))
+    files = put.hashes(folder, ("run_manifest.json",))
+    put.write_text(f"{folder}/run_manifest.json", json.dumps({"files": files}, sort_keys=True, indent=2))
     return files

@@ -190,10 +190,11 @@ def q_membership(spark, sf):
 
 
 def q_selection_hash(spark, sf):
-    """One hash over the ordered (page, image hash) list of each track, built from ordered hashes of hash buckets."""
-    df = gold(spark, sf, "track", "image").select("track", F.concat_ws("|", "page_id", F.coalesce("image.sha256", F.lit(""))).alias("x"))
-    part = df.withColumn("b", F.substring(F.sha2("x", 256), 1, 2)).groupBy("track", "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("h"))
-    return part.groupBy("track").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: F.concat(s["b"], F.lit(":"), s["h"])), "\n"), 256).alias("fingerprint"))
+    """One hash over the (page, image hash) list of each track, built as a tree: rows by eight digits of their hash, and each level by one digit less."""
+    df = gold(spark, sf, "track", "image").select("track", F.sha2(F.concat_ws("|", "page_id", F.coalesce("image.sha256", F.lit(""))), 256).alias("h"))
+    for digits in range(8, -1, -1):  # a group holds sixteen nodes, or the few rows that agree in eight digits
+        df = df.groupBy("track", F.substring("h" if digits == 8 else "b", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h"))
+    return df.select("track", F.col("h").alias("fingerprint"))
 
 
 def q_row_hash(spark, sf):
@@ -213,10 +214,38 @@ def q_repaired_text(spark, sf):
     return repaired.select("doc_id", F.sha2("text", 256).alias("repaired_sha"), C.smart_lines("text").alias("joined"))
 
 
+# What speaks for a form on a page; word ends are where no letter, digit or underscore stands.
+_END, _START = r"($|[^\p{L}\p{N}_])", r"(^|[^\p{L}\p{N}_])"
+FORM_SIGNS = {
+    "form_word": f"{_START}טופס{_END}",
+    "name_label": f"{_START}שם(\\s+מלא)?\\s*[:：]",
+    "date_label": f"{_START}תאריך\\s*[:：]",
+    "signature_word": f"{_START}חתימה",
+    "identifier_label": f"{_START}מספר\\s+(זהות|תיק|בקשה){_END}",
+    "underscore_run": "_{3,}",
+}
+
+
 def q_evidence_flags(spark, sf):
-    """Capability flags of documents' texts: mixed direction, table rows, form signals."""
+    """Capability flags of documents' texts: mixed direction, and how many of six form signs they hold."""
+    df = table(spark, sf, "documents", ["doc_id", "text"]).where("text is not null")
+    signs = [F.col("text").rlike(p).cast("long") for p in FORM_SIGNS.values()]
+    return df.select("doc_id", (F.col("text").rlike("[א-ת]") & F.col("text").rlike("[A-Za-z0-9]")).alias("mixed"), sum(signs[1:], signs[0]).alias("form_signal"))
+
+
+def q_text_accept(spark, sf):
+    """Which text layers are taken: four Hebrew letters at least, two fifths of the letters Hebrew, no cantillation, direction controls or unusable code points."""
     df = table(spark, sf, "documents", ["doc_id", "text"]).where("text is not null")
-    return df.select("doc_id", F.regexp_count("text", F.lit("\\|")).cast("long").alias("n_bars"), (F.col("text").rlike("[א-ת]") & F.col("text").rlike("[A-Za-z]")).alias("mixed"), (F.col("text").rlike("[0-9]{4}").cast("int") + F.col("text").rlike("[:]").cast("int") + F.col("text").rlike("@").cast("int")).cast("long").alias("form_signals"))
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    df = df.select("doc_id", n("[א-ת]").alias("hebrew"), n(r"\p{L}").alias("letters"), n("[\u0591-\u05af]").alias("cantillation"), n("[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]").alias("controls"), n(r"[\p{Co}\p{Cf}]").alias("unusable"))
+    ratio = F.col("hebrew") / F.greatest("letters", F.lit(1))
+    ok = (F.col("hebrew") >= 4) & (ratio >= 0.40) & (F.col("cantillation") == 0) & (F.col("controls") == 0) & (F.col("unusable") == 0)
+    return df.select("doc_id", "hebrew", "letters", "cantillation", "controls", "unusable", ok.alias("accepted"))
+
+
+def q_repair_counts(spark, sf):
+    df = table(spark, sf, "documents", ["doc_id", "text"]).where("text is not null")
+    return df.select("doc_id", *[v.alias(k) for k, v in C.repair_counts(F.col("text")).items()])
 
 
 def q_clean_lines(spark, sf):
@@ -248,6 +277,11 @@ _OPAD = bytes(b ^ 0x5C for b in KEY.encode().ljust(64, b"\0")).hex()
 _HMAC = f"substr(sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode('page|' || page_id)))), 1, 24)"
 _BOOL = lambda c: f"CAST(coalesce({c}, false) AS INTEGER)"
 
+_TREE = "(SELECT track, sha256(page_id || '|' || coalesce(image.sha256, '')) AS h, sha256(page_id || '|' || coalesce(image.sha256, '')) AS b FROM gold_pages)"
+for _n in range(8, -1, -1):
+    _TREE = f"(SELECT track, substr(b, 1, {_n}) AS b, sha256(string_agg(h, '|' ORDER BY h)) AS h FROM {_TREE} GROUP BY track, substr(b, 1, {_n}))"
+_TEXT_SIGNS = {"hebrew": "[א-ת]", "letters": "\\p{L}", "cantillation": "[\u0591-\u05af]", "controls": "[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]", "unusable": "[\\p{Co}\\p{Cf}]"}
+
 ORACLE = {
     "q_split_hash": f"SELECT page_id, document_id, CASE WHEN {_UNIT} < 0.8 THEN 'train' WHEN {_UNIT} < 0.9 THEN 'dev' ELSE 'test' END AS new_split FROM gold_pages",
     "q_shards": "SELECT document_id, CAST(('0x' || substr(sha256(document_id), 1, 8))::UBIGINT % 16 AS BIGINT) AS shard FROM (SELECT DISTINCT document_id FROM gold_pages)",
@@ -279,10 +313,11 @@ ORACLE = {
     "q_blind": "SELECT page_id, len(regions) AS n_regions, false AS has_text FROM gold_pages",
     "q_id_reuse": f"SELECT page_id, count(*) AS n_reused FROM (SELECT DISTINCT page_id, r.region_id AS i FROM (SELECT page_id, unnest(regions) AS r FROM {PP})) JOIN (SELECT DISTINCT page_id, r.region_id AS i FROM (SELECT page_id, unnest(regions) AS r FROM gold_pages)) USING (page_id, i) GROUP BY 1",
     "q_membership": "SELECT source_id, 'unused' AS problem FROM (SELECT DISTINCT source_id FROM source_registry WHERE source_id NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)) UNION ALL SELECT DISTINCT source, 'not_registered' FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source_id FROM source_registry WHERE source_id IS NOT NULL)",
-    "q_selection_hash": "SELECT track, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS fingerprint FROM (SELECT track, b, sha256(string_agg(x, chr(10) ORDER BY x)) AS h FROM (SELECT track, x, substr(sha256(x), 1, 2) AS b FROM (SELECT track, page_id || '|' || coalesce(image.sha256, '') AS x FROM gold_pages)) GROUP BY 1, 2) GROUP BY 1",
+    "q_selection_hash": f"SELECT track, h AS fingerprint FROM {_TREE}",
     "q_row_hash": "SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS row_hash FROM nation",
     "q_union_sorted": f"SELECT page_id, string_agg(side, '+' ORDER BY side) AS sides FROM (SELECT DISTINCT page_id, 'gold' AS side FROM gold_pages UNION SELECT DISTINCT page_id, 'prediction' FROM {PP}) GROUP BY 1",
-    "q_evidence_flags": "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\|')) AS BIGINT) AS n_bars, regexp_matches(text, '[א-ת]') AND regexp_matches(text, '[A-Za-z]') AS mixed, CAST(regexp_matches(text, '[0-9]{4}')::INTEGER + regexp_matches(text, '[:]')::INTEGER + regexp_matches(text, '@')::INTEGER AS BIGINT) AS form_signals FROM documents WHERE text IS NOT NULL",
+    "q_evidence_flags": f"SELECT doc_id, regexp_matches(text, '[א-ת]') AND regexp_matches(text, '[A-Za-z0-9]') AS mixed, CAST({' + '.join(f"regexp_matches(text, '{p}')::INTEGER" for p in FORM_SIGNS.values())} AS BIGINT) AS form_signal FROM documents WHERE text IS NOT NULL",
+    "q_text_accept": f"SELECT *, hebrew >= 4 AND hebrew / greatest(letters, 1) >= 0.40 AND cantillation = 0 AND controls = 0 AND unusable = 0 AS accepted FROM (SELECT doc_id, {', '.join(f"CAST(len(regexp_extract_all(text, '{v}')) AS BIGINT) AS {k}" for k, v in _TEXT_SIGNS.items())} FROM documents WHERE text IS NOT NULL)",
     "q_clean_lines": f"SELECT page_id, region_id, l.line_id AS line_id, coalesce(l.base_direction, rd, 'auto') AS direction, coalesce(l.language, rl, 'und') AS language FROM (SELECT page_id, r.region_id AS region_id, unnest(r.lines) AS l, r.base_direction AS rd, r.language AS rl FROM (SELECT page_id, unnest(regions) AS r FROM {PP}))",
     "q_stream_counts": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100, 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
