@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,11 @@ def hashes(folder: str, without: tuple[str, ...] = ()) -> dict[str, dict]:
     root = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
     spark = SparkSession.active()
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).collect()
-    out = {}
-    for r in sorted(rows, key=lambda r: r["path"]):
-        inside = r["path"].partition(root)[2]
-        if inside.rpartition("/")[2] not in without:
-            out[inside] = {"sha256": r["sha256"], "bytes": r["bytes"]}
-    return out
+    out = {r["path"].partition(root)[2]: {"sha256": r["sha256"], "bytes": r["bytes"]} for r in rows}
+    walk = fs.listFiles(p, True)  # Spark passes over empty files
+    while walk.hasNext():
+        f = walk.next()
+        inside = f.getPath().toUri().getPath().partition(root)[2]
+        if not f.getLen() and not any(part.startswith((".", "_")) for part in inside.split("/")):
+            out[inside] = {"sha256": hashlib.sha256(b"").hexdigest(), "bytes": 0}
+    return {k: out[k] for k in sorted(out) if k.rpartition("/")[2] not in without}
