@@ -107,3 +107,58 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
             match[j0] = match[j1]
             j0 = j1
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
+
+
+def _turn(o, a, b) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
+def convex_hull(points: list) -> list:
+    """The hull's corners, without points on its edges."""
+    pts = sorted({(float(x), float(y)) for x, y in points})
+    if len(pts) < 3:
+        return [list(p) for p in pts]
+    halves = []
+    for order in (pts, pts[::-1]):
+        half: list = []
+        for p in order:
+            while len(half) > 1 and _turn(half[-2], half[-1], p) <= 0:
+                half.pop()
+            half.append(p)
+        halves.append(half[:-1])
+    return [list(p) for p in halves[0] + halves[1]]
+
+
+def is_simple(points: list) -> bool:
+    """Whether no two edges of the closed outline cross or touch but at the corner they share."""
+    n = len(points)
+    if n < 3:
+        return False
+    between = lambda a, b, p: min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+    for i in range(n):
+        a, b = points[i], points[(i + 1) % n]
+        if tuple(a) == tuple(b):
+            return False
+        for j in range(i + 1, n):
+            c, d = points[j], points[(j + 1) % n]
+            if j == i + 1 or (i == 0 and j == n - 1):  # neighbours: they may not fold back on each other
+                shared, p, q = (b, a, d) if j == i + 1 else (a, b, c)
+                if _turn(shared, p, q) == 0 and (p[0] - shared[0]) * (q[0] - shared[0]) + (p[1] - shared[1]) * (q[1] - shared[1]) > 0:
+                    return False
+                continue
+            t1, t2, t3, t4 = _turn(a, b, c), _turn(a, b, d), _turn(c, d, a), _turn(c, d, b)
+            if ((t1 > 0) != (t2 > 0) and (t3 > 0) != (t4 > 0) and 0 not in (t1, t2, t3, t4)) or (t1 == 0 and between(a, b, c)) or (t2 == 0 and between(a, b, d)) or (t3 == 0 and between(c, d, a)) or (t4 == 0 and between(c, d, b)):
+                return False
+    return True
+
+
+def repaired_polygon(points: list | None) -> tuple[str, list]:
+    """(what was done, points): kept if simple, without repeated points if that is enough, else the convex hull; nothing with an area gives no points."""
+    pts = [list(map(float, p[:2])) for p in points or [] if p is not None and len(p) > 1 and p[0] is not None and p[1] is not None]
+    if len(pts) > 2 and is_simple(pts):
+        return "kept", pts
+    once = [p for i, p in enumerate(pts) if p != pts[i - 1]] if len(pts) > 1 else pts
+    if len(once) > 2 and is_simple(once):
+        return "deduplicated", once
+    hull = convex_hull(once)
+    return ("hull", hull) if len(hull) > 2 else ("empty", [])

@@ -92,3 +92,19 @@ def reading_order(nodes: pd.Series, edges: pd.Series, keys: pd.Series) -> pd.Ser
 def precedence_list(edges: pd.Series) -> pd.Series:
     """The precedences of a page's edges; null gives none, malformed edges are passed over."""
     return pd.Series([sorted(precedences([tuple(x) for x in (e if e is not None else []) if x is not None and len(x) == 2])) for e in edges])
+
+
+@pandas_udf(T.BooleanType())
+def has_cycle(edges: pd.Series) -> pd.Series:
+    """Whether a page's graph has a cycle; null gives none, malformed edges are passed over."""
+
+    def one(e):
+        pairs = [tuple(x) for x in (e if e is not None else []) if x is not None and len(x) == 2]
+        nodes = list(dict.fromkeys(n for p in pairs for n in p))
+        try:
+            topological(nodes, pairs)
+        except ValueError:
+            return True
+        return False
+
+    return pd.Series([one(e) for e in edges])

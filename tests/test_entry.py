@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from paraleaf import queries_corpus, queries_evaluate, queries_nested, queries_pages, queries_sources, queries_text
+from paraleaf import queries_corpus, queries_evaluate, queries_nested, queries_pages, queries_sources, queries_suite, queries_text
 
-CORE = {k: f for m in (queries_nested, queries_text, queries_pages, queries_evaluate, queries_corpus, queries_sources) for k, f in m.QUERIES.items()}
+CORE = {k: f for m in (queries_nested, queries_text, queries_pages, queries_evaluate, queries_corpus, queries_sources, queries_suite) for k, f in m.QUERIES.items()}
 
 
 def rows(df):
