@@ -346,3 +346,35 @@ def gate(sums: DataFrame, gate_quality: bool = True, gate_all_controls: bool = T
     failed = F.exists("c", lambda c: counts(c) & ~c["passed"])
     status = F.when(F.col("n_pages") == 0, "not_evaluated").when(failed, "non_conformant").otherwise("conformant")
     return df.withColumn("status", status).select(F.explode("c").alias("c"), "status").select("c.*", "status")
+
+
+def error_rows(pairs: DataFrame, by_id: bool = True, by_overlap: bool = False) -> DataFrame:
+    """(page_id, status, reference, prediction, gcer, cer, suspected, n_signs) of the lines with an error, a suspected display order or signs a clean text has none of."""
+    lines = line_counts(paired_lines(pairs, ["page_id"], by_id, by_overlap))
+    signs = F.col(HYGIENE[0])
+    for c in HYGIENE[1:-1]:  # the last one counts signs of two others again
+        signs = signs + F.col(c)
+    df = lines.select("page_id", "status", "reference", "prediction", F.round(error_rate("grapheme"), 9).alias("gcer"), F.round(error_rate("codepoint"), 9).alias("cer"), (F.col("visual_bad") > 0).alias("suspected"), signs.alias("n_signs"))
+    return df.where("gcer > 0 or suspected or n_signs > 0")
+
+
+def evaluate_tables(gold: DataFrame, pred: DataFrame, by_id: bool = True, by_overlap: bool = False) -> tuple[dict, DataFrame, DataFrame]:
+    """(metrics, pages, errors) of two tables: dataset rates, direction rates, the gate over all pages and coverage as a nested dict, and the rows behind them."""
+    from ..plans.shared import written
+
+    keep = ["page_id", *[c for c in ("document_id", "track") if c in gold.columns]]
+    pairs = page_pairs(gold, pred)
+    pages = written(page_counts(pairs, keep, by_id, by_overlap), "page-counts")
+    if "document_id" not in pages.columns:
+        pages = pages.withColumn("document_id", F.col("page_id"))
+    sums = summed(pages).na.fill(0)
+    checks = gate(sums).collect()  # eight rows
+    row = lambda df: {k: v for k, v in df.first().asDict().items()}
+    extra = pred.select("page_id").join(gold.select("page_id"), "page_id", "left_anti").count()
+    metrics = {
+        "recognition": row(dataset_rates(pages)),
+        "bidi": row(sums.select(*[v.alias(k) for k, v in bidi_rates().items()])),
+        "conformance": {"status": checks[0]["status"], "checks": {c["check"]: c["passed"] for c in checks}},
+        "coverage": row(pages.agg(F.count("*").alias("gold_pages"), F.count_if("p_there").alias("matched"), F.count_if(~F.col("p_there")).alias("missing"))) | {"extra": extra},
+    }
+    return metrics, pages.select("page_id", "document_id", "n_pairs", "exact", *[v.alias(k) for k, v in recognition().items()]), error_rows(pairs, by_id, by_overlap)

@@ -57,3 +57,26 @@ def write_bundle(folder: str, metrics: dict, per_page: DataFrame, errors: DataFr
     files = put.hashes(folder, ("run_manifest.json",))
     put.write_text(f"{folder}/run_manifest.json", json.dumps({"files": files}, sort_keys=True, indent=2))
     return files
+
+
+def compared(folders: list[str]) -> list[dict]:
+    """The runs of several bundles, ranked by line and page error; runs that are not conformant come last without a rank. Ties go by name."""
+    rows = []
+    for f in folders:
+        m = json.loads(put.read_text(f"{f}/metrics.json"))
+        r = m.get("recognition", {})
+        rows.append({"run": f.rstrip("/").rpartition("/")[2], "status": m.get("conformance", {}).get("status"), "line_gcer": r.get("line_gcer"), "page_order_gcer": r.get("page_order_gcer")})
+    last = float("inf")
+    rows.sort(key=lambda r: (r["status"] != "conformant", *(last if r[k] is None else r[k] for k in ("line_gcer", "page_order_gcer")), r["run"]))
+    return [{"rank": i if r["status"] == "conformant" else None, **r} for i, r in enumerate(rows, 1)]
+
+
+def write_comparison(folder: str, rows: list[dict]) -> None:
+    """comparison.json, comparison.csv and comparison.html of compared runs."""
+    from html import escape
+
+    names = ["rank", "run", "status", "line_gcer", "page_order_gcer"]
+    put.write_text(f"{folder}/comparison.json", json.dumps(rows, ensure_ascii=False, indent=2))
+    put.write_text(f"{folder}/comparison.csv", ",".join(names) + "\n" + "".join(",".join("" if r[n] is None else str(r[n]) for n in names) + "\n" for r in rows))
+    cells = "".join("<tr>" + "".join(f"<td>{escape(shown(n, r[n]))}</td>" for n in names) + "</tr>" for r in rows)
+    put.write_text(f"{folder}/comparison.html", f'<!doctype html><html><head><meta charset="utf-8"></head><body><table><tr>{"".join(f"<th>{n}</th>" for n in names)}</tr>{cells}</table></body></html>')

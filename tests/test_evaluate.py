@@ -127,3 +127,27 @@ def test_robustness(spark):
     got = {(r["scope"], r["value"]): (r["n_pairs"], r["e_scored"], r["e_mean_delta"]) for r in S.robustness_summary(pairs, ["e"]).collect()}
     assert got[("macro", "all")] == (4, 2, 0.1) and got[("family", "blur")] == (3, 2, 0.1) and got[("family", "jpeg")] == (1, 0, None) and got[("level", "strong")] == (2, 0, None)
     assert sorted(map(tuple, S.lineage_issues(df.drop("e", "family", "level"), ["split"]).collect())) == [("b", "differs:split"), ("c", "control_count")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import json
+
+    from paraleaf import cli
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    lines = f"array<{LINE[:-1]},base_direction:string>>"
+    page = "page_id string, image struct<width:int,height:int,sha256:string>, regions array<struct<region_id:string,type:string,reading_index:int,polygon:array<array<double>>,lines:" + lines + ">>, tables array<struct<table_id:string,n_rows:int,n_cols:int,cells:array<struct<row_start:int,row_end:int,col_start:int,col_end:int>>>>, reading_order struct<edges:array<array<string>>>"
+    gold = [(p, (10, 10, "h"), [("r", "text", 0, None, [("l", "אבג 12", None, 0, d)])], None, None) for p, d in (("p", "rtl"), ("q", "rtl"))]
+    spark.createDataFrame(gold, page).write.parquet(str(tmp_path / "gold"))
+    spark.createDataFrame([("p", gold[0][2]), ("x", gold[0][2])], "page_id string, regions " + page.partition("regions ")[2].partition(", tables")[0]).write.parquet(str(tmp_path / "pred"))
+    assert cli.main(["evaluate", str(tmp_path / "gold"), str(tmp_path / "pred"), "--out", str(tmp_path / "run")]) == 0
+    m = json.loads(capsys.readouterr().out)
+    assert m["coverage"] == {"gold_pages": 2, "matched": 1, "missing": 1, "extra": 1} and m["recognition"]["line_gcer"] == 0.5 and m["conformance"]["status"] == "non_conformant"
+    assert cli.main(["evaluate", str(tmp_path / "gold"), str(tmp_path / "gold"), "--out", str(tmp_path / "same")]) == 0
+    assert json.loads(capsys.readouterr().out)["conformance"]["status"] == "conformant"
+    assert cli.main(["compare", str(tmp_path / "run"), str(tmp_path / "same"), "--out", str(tmp_path / "cmp")]) == 0
+    assert [(r["rank"], r["run"]) for r in json.loads(capsys.readouterr().out)] == [(1, "same"), (None, "run")]
+    assert (tmp_path / "cmp" / "comparison.html").exists() and "50.00%" in (tmp_path / "run" / "report.html").read_text()
+    bad = [(p, i, [("r", "text", 0, None, [("l", "אבג", None, 0, "ltr")])], t, o) for p, i, _, t, o in gold]
+    spark.createDataFrame(bad, page).write.parquet(str(tmp_path / "bad"))
+    assert cli.main(["evaluate", str(tmp_path / "bad"), str(tmp_path / "pred")]) == 2
