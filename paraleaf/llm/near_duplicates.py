@@ -150,26 +150,37 @@ def _cell_pairs(ids, side, size, pos, maps, num: int, den: int, lo: int, hi: int
     """Candidate pairs of one cell of one index list."""
     order = np.lexsort((size, pos))
     ids, side, size, pos, maps = ids[order], side[order], size[order].astype(np.int64), pos[order].astype(np.int64), maps[order]
-    rest = size - pos
+    # min(rest, rest) * den >= num * (size + size), with each side's share on one side of the comparison.
+    own = num * size
+    left = (size - pos) * den - own
+    kind = np.int32 if len(ids) and int(size.max()) * (num + den) < 1 << 31 else np.int64
+    own, left = own.astype(kind), left.astype(kind)
     for a in range(0, len(ids), TILE):
-        sa, ra = size[a : a + TILE], rest[a : a + TILE]
+        oa, la = own[a : a + TILE], left[a : a + TILE]
         for b in range(0, a + 1, TILE):
-            sb, rb = size[b : b + TILE], rest[b : b + TILE]
+            ob, lb = own[b : b + TILE], left[b : b + TILE]
             # Blocks by position: no pair can reach the threshold if even the best rests cannot.
-            if min(ra.max(), rb.max()) * den < num * (sa.min() + sb.min()):
+            if la.max() < ob.min() or lb.max() < oa.min():
                 continue
-            need = num * (sa[:, None] + sb[None, :])
-            ok = np.minimum(ra[:, None], rb[None, :]) * den >= need
+            ok = (la[:, None] >= ob) & (lb >= oa[:, None])
+            if a == b:
+                ok &= np.tri(len(oa), k=-1, dtype=bool)
             i, j = np.nonzero(ok)
             i += a
             j += b
-            keep = (i > j) & (ids[i] != ids[j])
             if lo != hi:
-                keep &= side[i] != side[j]
-            i, j = i[keep], j[keep]
-            h = np.bitwise_count(maps[i] ^ maps[j]).sum(1).astype(np.int64)
+                keep = side[i] != side[j]
+                i, j = i[keep], j[keep]
+            # A part of the maps' distance is a bound as well, so most pairs are done after two of the four words.
             total = size[i] + size[j]
-            keep = 2 * ((num * total + den - 1) // den) <= total - h
+            most = total - 2 * ((num * total + den - 1) // den)
+            h = np.zeros(len(i), np.int64)
+            for k in range(maps.shape[1]):
+                h += np.bitwise_count(maps[i, k] ^ maps[j, k])
+                if k % 2:
+                    keep = h <= most
+                    i, j, h, most = i[keep], j[keep], h[keep], most[keep]
+            keep = ids[i] != ids[j]
             i, j = i[keep], j[keep]
             if len(i):
                 yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
