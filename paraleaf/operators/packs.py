@@ -12,14 +12,14 @@ from ..plans import files
 from ..sources.registry import canonical, fingerprint
 from .corpus import hmac_id
 
-MANIFEST, FROZEN = "manifest.json", "FROZEN.json"
+MANIFEST, FROZEN, CERTIFICATION = "manifest.json", "FROZEN.json", "certification.json"
 #: Keys a public record may not hold at any depth.
 FORBIDDEN = ("text", "page_text", "value_text", "label_text", "regions_gold", "document_id", "source_url")
 
 
 def inventory(folder: str) -> dict[str, dict]:
-    """sha256 and size of every file below ``folder``, but for the manifest and the freeze marker."""
-    return files.hashes(folder, (MANIFEST, FROZEN))
+    """sha256 and size of every file below ``folder``, but for the manifest, the freeze marker and the certification."""
+    return files.hashes(folder, (MANIFEST, FROZEN, CERTIFICATION))
 
 
 def build_root(folder: str, tables: dict[str, DataFrame], documents: dict[str, dict]) -> dict:
@@ -61,6 +61,59 @@ def freeze(folder: str) -> str:
     return mark
 
 
+def statistics(gold: DataFrame) -> dict[str, int]:
+    """Pages, documents, regions, lines and characters of gold pages."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    lines = F.flatten(F.transform("regions", lambda r: F.coalesce(r["lines"], F.array())))
+    chars = F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(F.length(x["text"]), F.lit(0)))
+    return gold.agg(F.count("*").alias("pages"), F.count_distinct("document_id").alias("documents"), n(F.size("regions")).alias("regions"), n(F.size(lines)).alias("lines"), n(chars).alias("characters")).first().asDict()
+
+
+def build_release(folder: str, gold: DataFrame, registry: list[dict], version: str) -> dict:
+    """A corpus root of gold pages with statistics, the registry of its sources, its version and the fingerprint of its pages; frozen."""
+    build_root(folder, {"gold": gold}, {"stats.json": statistics(gold), "sources.json": {"sources": registry}, "version.json": {"version": version}})
+    freeze(folder)
+    return json.loads(files.read_text(f"{folder}/{MANIFEST}"))
+
+
+def certify(folder: str, schema, registry: list[dict], accepted: set[str], version: str) -> dict[str, bool]:
+    """Twelve checks of a frozen release, each by itself, written to its certification file with ``certified`` if all hold.
+
+    ``schema`` is that of the gold pages, ``registry`` the sources (source_id, license_expression) it must have been built from, ``accepted`` the licences allowed.
+    """
+    from pyspark.sql import SparkSession
+
+    from .corpus import split_leaks
+    from .suite import page_issues
+
+    def read(name: str):
+        return json.loads(files.read_text(f"{folder}/{name}")) if files.exists(f"{folder}/{name}") else {}
+
+    manifest, held = read(MANIFEST), inventory(folder)
+    listed = manifest.get("files", {})
+    gold = SparkSession.active().read.schema(schema).json(f"{folder}/gold")
+    licences = {r["source_id"]: r["license_expression"] for r in registry}
+    used = [r[0] for r in gold.select(F.col("metadata.source_collection")).distinct().limit(len(licences) + 1).collect()]
+    errors = page_issues(gold).where("severity = 'error'").limit(1).count()
+    leaks = split_leaks(gold, "split", ["document_id"]).limit(1).count()
+    checks = {
+        "manifest_schema": isinstance(listed, dict) and all(isinstance(v.get("bytes"), int) and re.fullmatch("[0-9a-f]{64}", v.get("sha256", "")) for v in listed.values()) and bool(re.fullmatch("[0-9a-f]{64}", manifest.get("fingerprint", ""))),
+        "required_files": {"stats.json", "sources.json", "version.json"} <= listed.keys() and any(k.startswith("gold/") for k in listed),
+        "benchmark_version": read("version.json").get("version") == version,
+        "registry_fingerprint": fingerprint(read("sources.json").get("sources", [])) == fingerprint(registry),
+        "dataset_fingerprint": manifest.get("fingerprint") == fingerprint(listed),
+        "freeze_marker": bool(manifest) and read(FROZEN).get("fingerprint") == manifest.get("fingerprint"),
+        "manifest_inventory": listed == held,
+        "source_provenance": all(u in licences for u in used),
+        "license_profile": all(licences.get(u) in accepted for u in used),
+        "gold_validation": errors == 0,
+        "leakage_audit": leaks == 0,
+        "statistics_recomputed": read("stats.json") == statistics(gold),
+    }
+    files.write_text(f"{folder}/{CERTIFICATION}", json.dumps({"checks": checks, "certified": all(checks.values())}, sort_keys=True, indent=2))
+    return checks
+
+
 def participant_pack(pages: DataFrame, key: str) -> DataFrame:
     """What participants get: public ids of page and lines, image path, boxes; never text or original ids."""
     public = hmac_id(key, "page", F.col("page_id"))
