@@ -71,7 +71,6 @@ def q_stress_pages(spark, sf):
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__module__ == __name__}
 
-_G = "gold_pages"
 ORACLE = {
     "q_split_filter": "SELECT track, wanted, count(*) FILTER (split = wanted) AS n_kept, count(*) FILTER (split IS NULL OR split <> wanted) AS n_other FROM (SELECT track, lower(trim(split)) AS split, CASE WHEN track = 'bidi_diagnostic' THEN 'diagnostic' ELSE 'test' END AS wanted FROM gold_pages) GROUP BY 1, 2",
     "q_limited_pages": "SELECT page_id, document_id FROM gold_pages ORDER BY page_id LIMIT 20",
