@@ -15,7 +15,6 @@ split into cells of bounded size; cells, not lists, are the unit of work.
 
 from __future__ import annotations
 
-from collections import Counter
 from fractions import Fraction
 from math import ceil
 
@@ -32,6 +31,7 @@ CELL = 4096
 TILE = 512
 PARTNERS = 512
 KNOWN_TOKENS = 1_000_000
+KNOWN_WORDS = 500_000
 _LONG, _INT = T.LongType(), T.IntegerType()
 POSTING = T.StructType([T.StructField(n, t) for n, t in (("tok", _LONG), ("lo", _INT), ("hi", _INT), ("id", _LONG), ("side", _INT), ("size", _INT), ("pos", _INT), ("b0", _LONG), ("b1", _LONG), ("b2", _LONG), ("b3", _LONG))])
 
@@ -40,17 +40,25 @@ def _tokenised(df: DataFrame, key: str, text: str, least_words: int) -> DataFram
     def run(batches):
         import xxhash
 
+        codes: dict[str, int] = {}
         for batch in batches:
+            if len(codes) > KNOWN_WORDS:
+                codes.clear()
             ids, sigs, sizes, toks, maps = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words(t)
                 if len(w) < least_words:
                     continue
-                seen: Counter[str] = Counter()
-                h = np.empty(len(w), np.uint64)
-                for k, x in enumerate(w):
-                    h[k] = xxhash.xxh64_intdigest(f"{x} {seen[x]}")
-                    seen[x] += 1
+                seen: dict[str, int] = {}
+                tokens = []
+                for x in w:
+                    n = seen.get(x, 0)
+                    seen[x] = n + 1
+                    name = f"{x} {n}" if n else x
+                    if (code := codes.get(name)) is None:
+                        code = codes[name] = xxhash.xxh64_intdigest(name)
+                    tokens.append(code)
+                h = np.array(tokens, np.uint64)
                 h.sort()
                 m = np.zeros(4, np.uint64)
                 np.bitwise_xor.at(m, ((h >> np.uint64(6)) & np.uint64(3)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
