@@ -104,3 +104,52 @@ def test_many_scripts():
     assert len(set("".join(held))) > 3 * S.SYMBOLS
     near = [t[:50] + "7" + t[51:] for t in held]
     assert pairs_of(held, held) == {(i, i) for i in range(len(held))} == pairs_of(held, near)
+
+
+def edited(rng, text, share):
+    return "".join(c for x in text for c in ([x] if rng.random() > share else rng.choice(([], [rng.choice("xyz")], [x, rng.choice("xyz")]))))
+
+
+def sides(held, train):
+    signs = S.Signs(held)
+    return S.Side(list(map(str, range(len(held)))), held, signs), S.Side(list(map(str, range(len(train)))), train, signs)
+
+
+def test_few_partners_need_no_index():
+    rng = random.Random(7)
+    held = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(80, 200))) for _ in range(300)]
+    train = [edited(rng, t, 0.05) for t in held[:40]] + ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(80, 200))) for _ in range(300)]
+    assert len({(t, h) for t, h, *_ in S._pairs(lambda: 1 / 0, *sides(held, train), S.Fraction("0.88"))}) == 40
+    left = sum(len(t) for t, _ in S._possible(*reversed(sides(held, train)), S.Fraction("0.88")))
+    assert left < 60  # of 102,000 pairs
+
+
+def test_bounds_lose_no_pair(monkeypatch):
+    rng = random.Random(8)
+    held = ["".join(rng.choices(rng.choice(("abcdefgh", "אבגדהוזחטי", "ab")), k=rng.choice((80, 90, 120, 300)))) for _ in range(60)] + ["".join(rng.choices("abcde", k=n)) for n in (2500, 2600, 4000)]
+    train = [edited(rng, t, share) for t in held for share in (0, 0.06, 0.1, 0.13)] + [held[0][:40] + "\U0001d7d8" + held[0][41:]]
+    want = {(i, j) for i, x in enumerate(train) for j, y in enumerate(held) if min(len(x), len(y)) * 2 >= 0.88 * (len(x) + len(y)) and 2 * S.shared_in_order(x, y) * 100 >= 88 * (len(x) + len(y))}
+    assert len(want) > 150 and pairs_of(held, train) == want
+    monkeypatch.setattr(S, "MANY", 0)
+    monkeypatch.setattr(S, "BATCH", 20)
+    monkeypatch.setattr(S, "RUN", 9)
+    monkeypatch.setattr(S, "KEPT_BYTES", 500)
+    assert pairs_of(held, train) == want
+
+
+def test_shards_by_length(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_CHARS", 1000)
+    texts = [c * n for c in "abcdefghijklmnop" for n in (80, 90, 100)] + ["q" * 3000, "r" * 120, "s" * 130]
+    placed, shards = S._placed(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "name string, norm string"))
+    rows = placed.collect()
+    assert sorted(r["norm"] for r in rows) == sorted(texts)
+    assert all(shards[r["shard"]][0] <= len(r["norm"]) <= shards[r["shard"]][1] for r in rows)
+    assert shards == [(80, 80)] * 2 + [(90, 90)] * 2 + [(100, 100)] * 2 + [(120, 130), (3000, 3000)]
+
+
+def test_shards_that_hold_nothing(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_CHARS", 90)
+    texts = ["".join(random.Random(i).choices("abcdefghij", k=90)) for i in range(12)]
+    df = spark.createDataFrame([(f"{s}{i}", s, "s", t) for i, t in enumerate(texts) for s in ("train", "test")], "name string, split string, source string, text string")
+    found = S.overlapping_pairs(df, 0.88, 80).collect()
+    assert sorted(r["record_b"] for r in found) == sorted(f"train{i}" for i in range(12))
