@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
-from ..functions.align import COUNTERS, align
+from ..functions.align import COUNTERS, align, distance
 from ..functions.geometry import assign, polygon_iou
 from ..functions.order import reading_order
 from .assignment import LINE_IOU
@@ -65,10 +65,10 @@ def gold_text(df: DataFrame) -> DataFrame:
     return df.withColumn("g_text", F.coalesce(F.array_join(F.transform("_ord", lambda i: by_id[i]), "\n\n"), F.lit(""))).drop("_ids", "_ord")
 
 
-def predicted_text() -> Column:
+def predicted_text(regions: Column | str = "p_regions", text: Column | str = "p_text") -> Column:
     """The page text delivered, or the regions by (reading index, place), which is their order where a prediction states no edges."""
-    ranked = F.transform("p_regions", lambda r, i: F.struct(F.coalesce(r["reading_index"], F.lit(LAST)).alias("k"), i.alias("i"), _region_text(r).alias("t")))
-    return F.coalesce("p_text", F.array_join(F.transform(F.array_sort(ranked), lambda x: x["t"]), "\n\n"), F.lit(""))
+    ranked = F.transform(regions, lambda r, i: F.struct(F.coalesce(r["reading_index"], F.lit(LAST)).alias("k"), i.alias("i"), _region_text(r).alias("t")))
+    return F.coalesce(text, F.array_join(F.transform(F.array_sort(ranked), lambda x: x["t"]), "\n\n"), F.lit(""))
 
 
 def _pairs_by_id() -> Column:
@@ -187,9 +187,10 @@ def reads_backwards(ref: list[str], pred: str, logical: float) -> bool:
         return False
     display = "".join("".join(reversed(_GRAPHEME.findall(t))) if _HEBREW.search(t) else t for t in reversed(_TOKEN.findall(pred)))
     rates = []
-    for other in (_GRAPHEME.findall(display), _GRAPHEME.findall(pred)[::-1]):
-        n, _, s, d, i, _ = align(ref, other)
-        rates.append((s + d + i) / max(1, n))
+    for other in (_GRAPHEME.findall(pred)[::-1], _GRAPHEME.findall(display)):
+        rates.append(distance(ref, other) / max(1, len(ref)))
+        if not rates[-1]:
+            break
     return logical - min(rates) >= VISUAL_GAIN - 1e-12 and min(rates) <= VISUAL_RATE + 1e-12
 
 

@@ -162,14 +162,8 @@ def q_admission(spark, sf):
 
 def q_sanity(spark, sf):
     """Six fault systems over the gold pages and ten checks of what each must show."""
-    g = table(spark, sf, "gold_pages", [*KEEP, "regions", "reading_order"])
-    rows = None
-    for name in S.fault_systems():
-        pages = E.page_pairs(g, S.faulty(g, name))
-        # A prediction states no edges; for the swapped order the indices of the regions decide.
-        one = E.summed(E.page_counts(pages, KEEP)).select(F.lit(name).alias("system"), *[v.alias(k) for k, v in (E.recognition() | E.bidi_rates()).items()])
-        rows = one if rows is None else rows.unionByName(one)
-    return S.sanity_checks(written(rows, "sanity"))
+    # A prediction states no edges; for the swapped order the indices of the regions decide.
+    return S.sanity_checks(written(S.sanity_rates(table(spark, sf, "gold_pages", ["page_id", "regions", "reading_order"])), "sanity"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}

@@ -1,8 +1,11 @@
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from paraleaf import queries_evaluate as QE
+from paraleaf.functions.align import align, distance
 from paraleaf.operators import admission as D
 from paraleaf.operators import evaluate as E
 from paraleaf.operators import scores as S
@@ -151,3 +154,41 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     bad = [(p, i, [("r", "text", 0, None, [("l", "אבג", None, 0, "ltr")])], t, o) for p, i, _, t, o in gold]
     spark.createDataFrame(bad, page).write.parquet(str(tmp_path / "bad"))
     assert cli.main(["evaluate", str(tmp_path / "bad"), str(tmp_path / "pred")]) == 2
+
+
+RATES = ["line_gcer", "line_exact_rate", "page_order_gcer", "grapheme_deletion_rate", "grapheme_insertion_rate", "visual_order_failure_rate"]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_sanity_rates_are_those_of_full_scoring(spark, odd):
+    body = [region("r", line("a", "שָׁלוֹם עוֹלָם"), line("b", "abc (12.5) אבג־דה׳", None, 0), index=0), region("s", line("c", "é\r\nx‏"), line("d", ""), index=1)]
+    gold = [("p", "d", "t", body, ([["s", "r"]],)), ("q", "d", "t", [region("r", line("a", "אבגדהוז חטיכל"))], None), ("e", "d", "t", None, None)]
+    if odd:
+        gold = [("o", "d", "t", [region(None, line("a", "אבגד"), line("a", "abc"), line(None, "דה"), line("n", None)), (None, None, None, None), region("x")], None), (None, "d", "t", body, None)]
+    g = spark.createDataFrame(gold, GOLD)
+    got = {r["system"]: r for r in S.sanity_rates(g).collect()}
+    assert set(got) == set(S.fault_systems())
+    for name in got:
+        one = E.summed(E.page_counts(E.page_pairs(g, S.faulty(g, name)), ["page_id"])).select(*[v.alias(k) for k, v in (E.recognition() | E.bidi_rates()).items()]).first()
+        read = RATES[:2] + [m for m, who in zip(RATES[2:], (S.ORDERED, S.BY_KIND, S.BY_KIND, S.VISUAL), strict=True) if name in who]
+        assert {m: got[name][m] for m in read} == {m: one[m] for m in read}, name
+    without_lines = {r["system"]: r for r in S.sanity_rates(spark.createDataFrame([("e", "d", "t", None, None)], GOLD)).collect()}
+    assert all(without_lines[s]["line_gcer"] == 0 for s in S.fault_systems())
+
+
+def test_sanity_is_planned_once_for_all_systems(spark, sf, monkeypatch):
+    """Six scoring plans in one filled the driver."""
+    plans = []
+    monkeypatch.setattr(QE, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert QE.q_sanity(spark, sf).count() == 10
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].count("Relation [") == 2
+
+
+def test_distance_is_that_of_the_edit_script():
+    draw = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(draw.choices("abcd"[: draw.randint(1, 4)], k=draw.choice((0, 1, 5, 63, 64, 65, 130)))) for _ in "ab")
+        if draw.random() < 0.3:
+            b = a[::-1]
+        _, _, s, d, i, _ = align(a, b)
+        assert distance(a, b) == s + d + i
