@@ -2,10 +2,11 @@ import random
 import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from paraleaf import queries_evaluate as QE
-from paraleaf.functions.align import align, distance
+from paraleaf.functions.align import align, distance, distances
 from paraleaf.operators import admission as D
 from paraleaf.operators import evaluate as E
 from paraleaf.operators import scores as S
@@ -185,10 +186,17 @@ def test_sanity_is_planned_once_for_all_systems(spark, sf, monkeypatch):
 
 
 def test_distance_is_that_of_the_edit_script():
-    draw = random.Random(3)
+    draw, pairs = random.Random(3), []
     for _ in range(3000):
         a, b = ("".join(draw.choices("abcd"[: draw.randint(1, 4)], k=draw.choice((0, 1, 5, 63, 64, 65, 130)))) for _ in "ab")
-        if draw.random() < 0.3:
-            b = a[::-1]
-        _, _, s, d, i, _ = align(a, b)
-        assert distance(a, b) == s + d + i
+        pairs.append((a, a[::-1] if draw.random() < 0.3 else b))
+    edits = [sum(align(a, b)[2:5]) for a, b in pairs]
+    assert edits == [distance(a, b) for a, b in pairs] == distances(pairs)
+
+
+def test_graphemes_of_are_clusters():
+    draw = random.Random(4)
+    signs = "ab \n\r1.é\xa9\xadאבשת־׀׃׆״\u05b8\u05bc\u05c1\u05c7\u0301\u200a\u200d\u200f\u2013\u2028\u1100\u1161"
+    for _ in range(20_000):
+        t = "".join(draw.choices(draw.sample(signs, 5), k=draw.randint(0, 9)))
+        assert E.graphemes_of(t) == regex.findall(r"\X", t)
